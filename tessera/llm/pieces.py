@@ -223,11 +223,12 @@ class Codec:
         """``text`` cut before runs of white-space marks, without the first mark of each
         cut: the dummy prefix that the library puts before a text gives it back."""
         norm, at = MARK + text.replace(" ", MARK), 0
+        last = len(norm.rstrip(MARK))  # a cut of marks alone would come out empty
         while at < len(norm):
             end = norm.find(MARK, at + CUT_CHARS)
             while end > 0 and norm[end - 1] == MARK:
                 end = norm.find(MARK, end + 1)
-            end = len(norm) if end < 0 else end
+            end = len(norm) if end < 0 or end >= last else end
             yield norm[at + 1 : end]
             at = end
 
