@@ -184,15 +184,11 @@ def shard_documents(docs: DataFrame, shards: int = 40, overhead: int = 16, cells
     groups = stash(laid.groupBy("first", "digest").agg(F.max("end").alias("end")).select("end"), "ends")
 
     def fetch(spans: list[tuple[int, int]], width: int) -> list[tuple[int, int, int]]:
-        inside = F.lit(False)
-        if len(spans) == 1:
-            inside = (F.col("end") > spans[0][0]) & (F.col("end") <= spans[0][1])
-            chosen = groups.filter(inside)
-        else:
-            table = F.broadcast(spark.createDataFrame(spans, "low long, high long"))
-            chosen = groups.join(table, (F.col("end") > F.col("low")) & (F.col("end") <= F.col("high")), "left_semi")
-        cell = F.expr(f"end div {width}L")
-        found = chosen.groupBy(cell.alias("cell")).agg(F.min("end").alias("a"), F.max("end").alias("b"), F.count(F.lit(1)).alias("n"))
+        # at most one row a shard and refinement; the spans don't overlap, so an end has one
+        table = F.broadcast(spark.createDataFrame(spans, "low long, high long"))
+        chosen = groups.join(table, (F.col("end") > F.col("low")) & (F.col("end") <= F.col("high")))
+        cell = F.expr(f"(end - low - 1) div {width}L")
+        found = chosen.groupBy("low", cell.alias("cell")).agg(F.min("end").alias("a"), F.max("end").alias("b"), F.count(F.lit(1)).alias("n"))
         return [(r["a"], r["b"], r["n"]) for r in found.collect()]  # ``cells`` and one a span at most
 
     ends = Ends(total, fetch, cells)
