@@ -46,8 +46,8 @@ from tessera.llm.common import empty_text, stash
 from tessera.llm.components import components
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-#: Rows of a search frontier held at once.
-FRONTIER = 1 << 20
+#: Words of 64 bits in a search frontier held at once.
+FRONTIER = 1 << 19
 #: Rows gathered before a set of shards is searched.
 GATHER = 1 << 17
 
@@ -194,7 +194,7 @@ class Forest:
         stack = [(query, node)]
         while stack:
             query, node = stack.pop()
-            if len(query) > FRONTIER:
+            if len(query) * self.fps.shape[1] > FRONTIER and len(query) > 1:
                 half = len(query) // 2
                 stack += [(query[:half], node[:half]), (query[half:], node[half:])]
                 continue
