@@ -160,7 +160,6 @@ def shard_documents(docs: DataFrame, shards: int = 40, overhead: int = 16, cells
         F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(raw) + overhead).cast("long").alias("size"),
         F.crc32(raw).alias("text_crc32"), F.unhex(F.sha2(raw, 256)).alias("digest"),
     )
-    rows = stash(rows, "sizes")
     first = rows.groupBy("digest").agg(F.min("doc_id").alias("first"))
     rows = rows.join(first, "digest")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -181,7 +180,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, overhead: int = 16, cells
         "doc_id", "size", "text_crc32", "first", "digest",
         (F.col("end") + F.col("b")).alias("end"), (F.col("row") + F.col("r")).alias("row"),
     )
-    groups = stash(laid.groupBy("first", "digest").agg(F.max("end").alias("end")).select("end"), "ends")
+    groups = laid.groupBy("first", "digest").agg(F.max("end").alias("end")).select("end")
 
     def fetch(spans: list[tuple[int, int]], width: int) -> list[tuple[int, int, int]]:
         # at most one row a shard and refinement; the spans don't overlap, so an end has one
