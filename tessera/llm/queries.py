@@ -78,7 +78,16 @@ def oracle_sql() -> dict[str, str]:
     rule = " ".join(f"WHEN {hosts[r.name]} THEN '{r.name}'" for r in longest)
     verdict = " ".join(f"WHEN {hosts[r.name]} THEN '{r.verdict}'" for r in longest)
     count = " + ".join(f"len(regexp_extract_all(t2, '[^a-z0-9]{term}([^a-z0-9])'))" for term in urls.STRICT)
+    digit = "(('0x' || substr(h, (k // 4) * 5 + 1, 5))::INT >> (15 - 5 * (k % 4)::INT)) & 31"
+    base32 = f"list_aggregate(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ({digit}) + 1, 1)), 'string_agg', '')"
     return {
+        "op6_warc_chunks": f"""
+            WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+            d AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS h, min(page_id) OVER (PARTITION BY body) AS first FROM p)
+            SELECT page_id, payload_bytes, {base32} AS payload_digest, CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+                   CASE WHEN page_id <> first THEN first END AS refers_to
+            FROM d
+        """,
         "op8_url_vocabulary": f"""
             WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
             s AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{urls.UPPER}', '{urls.LOWER}') AS host,

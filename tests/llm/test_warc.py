@@ -5,9 +5,10 @@ import gzip
 import hashlib
 import io
 
+import oracle
 from pyarrow import fs
 
-from tessera.llm import warc
+from tessera.llm import queries, warc
 from tessera.llm.common import fresh_path, read
 
 SF = "/root/testdata/sf0.01"
@@ -37,6 +38,11 @@ def test_whole_table(spark):
     check(warc.round_trip(pages).collect(), [tuple(r) for r in pages.collect()])
 
 
+def test_sql(spark):
+    sql = queries.oracle_sql()["op6_warc_chunks"]
+    assert oracle.compare(queries.op6_warc_chunks(spark, SF), oracle.connect(SF), sql) is None
+
+
 def test_edge_rows(spark):
     big = "é<p>" * 100_000
     rows = [(5, None, None, "", ""), (2, "http://a b\r\nc/", "", "", ""), (3, "u", big, "", ""), (1, "u", big, "", ""), (8, "u", big, "", ""), (9, "u", "x\r\n\r\nWARC/1.1\r\n", "", ""), (9, "u", "x\r\n\r\nWARC/1.1\r\n", "", ""), (None, "u", "alone", "", "")]
