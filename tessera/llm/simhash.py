@@ -23,6 +23,10 @@ task is bounded, and no link is lost.
 A shard emits a spanning forest of its links; components of all of them are
 found with distributed star rounds.
 
+``drop_near`` decides by the exact similarity of shingle sets instead, and takes
+its candidates from a prefix filter, as fingerprints tell that similarity only
+up to chance.
+
 Defined cases: a null text is an empty one; empty texts link like any others;
 rows with a null id get their fingerprint and a null component; repeated rows
 and ids count once; an empty table gives an empty result; further columns are
@@ -39,10 +43,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import empty_text, stash
+from tessera.llm.common import drop_path, empty_text, small, stash
 from tessera.llm.components import components
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -50,6 +54,9 @@ GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 FRONTIER = 1 << 19
 #: Rows gathered before a set of shards is searched.
 GATHER = 1 << 17
+#: Words of a shingle in ``drop_near``, and classes its shingles are counted in to order them.
+NEAR_WORDS = 5
+BUCKETS = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -331,16 +338,145 @@ def wide(n_rows: int) -> SimHash:
     return SimHash(words=5, lanes=8, radius=88, bands=bands, band_bits=bits)
 
 
-def drop_near(docs: DataFrame) -> DataFrame:
+def _least_common(similarity: float, n: int) -> int:
+    return math.ceil(similarity * n - 1e-9)
+
+
+def _contents(rows: DataFrame) -> DataFrame:
+    """``rows(doc_id, text)`` -> ``(doc_id, key)``, the key telling shingle sets apart, and
+    ``(bucket, seen)``: how many shingles of the distinct ones of each text fell to a bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "key", "bucket", "seen"]
+        seen = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                keys = []
+                for x in part.column(1):
+                    s = np.unique(shingle_hashes(x.as_py(), NEAR_WORDS))
+                    np.add.at(seen, (s >> np.uint64(48)).astype(np.int64), 1)
+                    keys.append(xxhash.xxh128_digest(s.tobytes()))
+                none = pa.nulls(part.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), none, none], names)
+        used = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.binary()), pa.array(used), pa.array(seen[used])], names)
+
+    return rows.mapInArrow(run, "doc_id long, key binary, bucket long, seen long")
+
+
+def _prefixes(rows: DataFrame, seen: np.ndarray, similarity: float) -> DataFrame:
+    """``(h, node, n, pos)``: the shingles of each set's prefix, rarer buckets first.
+
+    Two sets of ``similarity`` or more share at least that share of the larger one, so
+    their prefixes meet under any order of all shingles; ``seen`` only sets the order.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(seen)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                h, size, count = [np.empty(0, np.uint64)], [], []
+                for x in part.column(1):
+                    s = np.unique(shingle_hashes(x.as_py(), NEAR_WORDS))
+                    n = len(s) - _least_common(similarity, len(s)) + 1 if len(s) else 0
+                    h.append(s[np.lexsort((s, shared.value[(s >> np.uint64(48)).astype(np.int64)]))[:n]])
+                    size.append(len(s))
+                    count.append(n)
+                count = np.array(count, np.int64)
+                pos = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                node = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), count)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(h).view(np.int64)), node, pa.array(np.repeat(np.array(size, np.int32), count)), pa.array(pos.astype(np.int32))],
+                    ["h", "node", "n", "pos"],
+                )
+
+    return rows.mapInArrow(run, "h long, node long, n int, pos int")
+
+
+def _shingle_sets(rows: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [np.unique(shingle_hashes(x.as_py(), NEAR_WORDS)).view(np.int64) for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "s"])
+
+    return rows.mapInArrow(run, "node long, s array<bigint>")
+
+
+def _possible(a: str, b: str, similarity: float) -> Column:
+    """Whether sizes and places of a common shingle leave room for ``similarity``; true at
+    the first common shingle of any pair that has it."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    most = F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos"))
+    return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9) & (most >= similarity / (1 + similarity) * (n + m) - 1e-9)
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``(u, v)`` of which the shingle sets' Jaccard similarity is ``similarity`` or more."""
+    # the end that many pairs share comes first, while rows are narrow
+    both = pairs.join(sets.select(F.col("node").alias("v"), F.col("s").alias("sv")), "v").join(sets.select(F.col("node").alias("u"), F.col("s").alias("su")), "u")
+    common = F.size(F.array_intersect("su", "sv"))
+    return both.filter(common / (F.size("su") + F.size("sv") - common) >= similarity).select("u", "v")
+
+
+def similar_roots(rows: DataFrame, pref: DataFrame, similarity: float) -> DataFrame:
+    """``(node, root)`` of the components of all pairs of ``similarity`` or more, each link verified.
+
+    Groups that share a prefix shingle are first linked to their first members; a
+    shingle all of whose texts are in one component is then done with, so large groups of
+    copies never meet in pairs.  The last round compares all pairs that are still apart.
+    """
+    often = stash(pref.groupBy("h").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("h"), "often")
+    shared = stash(pref.join(small(often, 16), "h"), "shared")
+    drop_path(pref.sparkSession, pref.stash_path)
+    nodes = stash(shared.select("node").distinct(), "nodes")
+    sets = stash(_shingle_sets(rows.join(small(nodes, 16), rows["doc_id"] == nodes["node"], "left_semi")), "sets")
+    links, roots = None, None
+    for last in (False, False, True):
+        if roots is not None:
+            shared = shared.drop("root").join(roots, "node", "left")
+        now = shared.withColumn("root", F.coalesce("root", "node") if roots is not None else F.col("node"))
+        ends = now.groupBy("h").agg(F.min("root").alias("lo_root"), F.max("root").alias("hi_root")).filter("lo_root <> hi_root").drop("hi_root")
+        open_ = stash(now.join(ends, "h").select("h", "node", "n", "pos", "root", "lo_root"), "open")
+        if last:
+            pairs = open_.alias("a").join(open_.alias("b"), "h").filter("a.node > b.node and a.root <> b.root")
+        else:
+            # a component's least node may lack the shingle: its least node in the group stands for it
+            heads = open_.filter("root = lo_root").groupBy("h", "root").agg(F.min("node").alias("node"))
+            heads = heads.join(open_.select("h", "node", "n", "pos"), ["h", "node"])
+            pairs = open_.alias("a").join(heads.alias("b"), "h").filter("a.root <> b.root")
+        pairs = pairs.filter(_possible("a", "b", similarity)).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
+        found = stash(_similar(pairs, sets, similarity), "links")
+        drop_path(pref.sparkSession, open_.stash_path)
+        links = found if links is None else links.unionByName(found)
+        roots = components(links)
+    return roots
+
+
+def drop_near(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """``docs`` without all but one document (the least ``doc_id``) of each near-duplicate class.
 
-    Rows with a null id stay.  All columns are kept.
+    Classes are the components of all pairs of documents whose sets of five-word shingles
+    have a Jaccard similarity of ``similarity`` or more: candidates come from a prefix filter,
+    which loses none, and are decided by their sets.  Rows with a null id stay.  All columns are kept.
     """
-    classes = near_classes(docs, wide(docs.count()))
-    gone = stash(classes.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    out = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
-    repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return _one_row_each(out) if repeated else out
+    if docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        docs = stash(_one_row_each(docs), "single")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), empty_text("text").cast("binary").alias("text")).filter("doc_id is not null")
+    made = stash(_contents(rows), "contents")
+    seen = np.zeros(BUCKETS, np.int64)
+    for r in made.filter("bucket is not null").groupBy("bucket").agg(F.sum("seen").alias("n")).collect():  # at most BUCKETS
+        seen[r["bucket"]] = r["n"]
+    ids = made.filter("key is not null")
+    first = ids.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    copies = stash(ids.join(first, "doc_id", "left_anti").select("doc_id"), "copies")
+    single = rows.join(small(copies, 16), "doc_id", "left_anti")
+    roots = similar_roots(single, stash(_prefixes(single, seen, similarity), "prefixes"), similarity)
+    gone = stash(copies.unionByName(roots.filter("node <> root").select(F.col("node").alias("doc_id"))).select(F.col("doc_id").alias("__gone")), "gone")
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
 
 
 def _one_row_each(docs: DataFrame) -> DataFrame:

@@ -120,3 +120,33 @@ def test_wide_settings_catch_copies_and_leave_others(spark):
 
 def test_expected_recall():
     assert simhash.expected_recall(0.889, simhash.wide(250_000)) > 0.98
+
+
+def test_drop_near_against_brute_force_jaccard(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    passage = [word() for _ in range(150)]
+    rows = []
+    for i in range(120):
+        words = [word() for _ in range(200)] if i % 3 else passage + [word() for _ in range(20 + i % 40)]
+        near = list(words)
+        for p in rng.sample(range(len(words)), rng.randint(1, 8)):  # similarities on both sides of 0.8
+            near[p] = word()
+        rows += [" ".join(words), " ".join(near)]
+    rows += ["", None, " ", "one two", "One  two", rows[0]]
+    sets = [set(simhash.shingle_hashes((t or "").encode(), 5).tolist()) for t in rows]
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] | sets[j])
+            if not both or len(sets[i] & sets[j]) / both >= 0.8:
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    got = {r["doc_id"] for r in simhash.drop_near(spark.createDataFrame([(i, t, "", "") for i, t in enumerate(rows)], SCHEMA)).collect()}
+    assert got == {i for i in range(len(rows)) if find(i) == i}
