@@ -38,6 +38,22 @@ def test_stages_by_their_operators(spark):
         assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, model.encode(rows[d]["text"]))).encode()).hexdigest()
 
 
+def test_near_duplicates_by_shingle_similarity(spark):
+    docs = read(spark, SF, "documents")
+    sets = {r["doc_id"]: set(simhash.shingle_hashes((r["text"] or "").encode(), 5).tolist()) for r in docs.collect()}
+    near = {d: {o for o in sets if o == d or 5 * len(sets[o] & sets[d]) >= 4 * len(sets[o] | sets[d])} for d in sets}
+    left, done = set(), set()
+    for d in sorted(sets):  # the least id of each component, by brute force
+        if d in done:
+            continue
+        left.add(d)
+        todo = {d}
+        while todo:
+            done |= todo
+            todo = set().union(*(near[o] for o in todo)) - done
+    assert {r["doc_id"] for r in corpus_pipeline.without_near_duplicates(spark, docs, SF).collect()} == left
+
+
 def test_empty_table_passes_through(spark):
     docs = read(spark, SF, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
