@@ -5,17 +5,17 @@ the lower-cased text; shingles are five consecutive words (of an item with
 fewer, all of them).
 
 A window of a document has as many words as an item.  A window that is similar
-to an item at ``similarity`` or more misses at most a set share of the item's
-shingles, so it holds one of any larger set of them: the item's shingles of the
-least hashes, just as many as that takes, are its anchors, and only windows
-aligned on an anchor are fingerprinted.  Windows of equal content are
-fingerprinted once.  Fingerprints meet those of items of the same size through
+to an item at ``similarity`` or more shares a set number of shingles with it, so
+that many places of the window hold one of the item's: every window of a
+document with so many places is fingerprinted, in whatever order they stand, and
+no other can reach the similarity.  Windows of equal content are fingerprinted
+once.  Fingerprints meet those of items of the same size through
 a multi-index: 64 bits are cut into ``radius + 1`` blocks, and two fingerprints
 within the radius agree on a block, so none is lost.  Pairs within the radius are
 verified by their exact weighted-shingle similarity: the sum over shingles of
 the lesser of their two counts over the sum of the greater.
 
-The benchmark's anchors and blocks are broadcast if their counted size is small,
+The benchmark's shingles and blocks are broadcast if their counted size is small,
 and joined by shuffle otherwise.
 
 Defined cases: null and empty texts and items have no window; documents shorter
@@ -83,22 +83,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     """``(doc_id, item_id, start, distance, similarity)``: the most similar window of each
     document and item at ``similarity`` or more (ties: the first window)."""
     items = stash(item_shingles(benchmark), "items")
-    n = F.size("shingles")
-    # sum(min) / sum(max) >= s with equal sums n needs sum(min) >= 2 s n / (1 + s)
-    spare = F.floor(n * (1 - 2 * similarity / (1 + similarity)) + 1e-9).cast("int") + 1
-    ordered = F.sort_array(F.transform("shingles", lambda x, i: F.struct(F.xxhash64(x, F.lit(3)).alias("r"), x.alias("h"), i.alias("o"))))
-    anchors = items.select("k", "words", F.explode(F.slice(ordered, 1, F.least(spare, n))).alias("a"))
-    anchors = stash(anchors.select(F.col("k").alias("ak"), "words", F.col("a.h").alias("h"), F.col("a.o").alias("o")).distinct(), "anchors")
+    known = stash(items.select(F.col("item_id"), F.col("k").alias("ik"), "words", F.explode(F.array_distinct("shingles")).alias("h")), "known")
     sizes = sorted(r["k"] for r in items.select("k").distinct().collect())  # at most five
-    near = small(anchors, 32)
+    near = small(known, 32)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text")).alias("w")).filter("doc_id is not null")
     found = None
     for k in sizes:
-        part = rows.select("doc_id", shingles_of(F.col("w"), k).alias("s")).select("doc_id", "s", F.posexplode("s").alias("p", "h"))
-        part = part.join(near.filter(F.col("ak") == k), "h")
+        texts = rows.select("doc_id", shingles_of(F.col("w"), k).alias("s")).withColumn("size", F.size("s"))
+        met = texts.select("doc_id", "size", F.posexplode("s").alias("p", "h")).join(near.filter(F.col("ik") == k), "h")
         length = F.col("words") - (k - 1)  # shingles of a window
-        start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("o"), F.size("s") - length))
-        part = part.select("doc_id", "words", F.lit(k).alias("k"), start.alias("start"), F.slice("s", start + 1, length).alias("window"))
+        width = F.least(length, F.col("size"))
+        # common / (width + length - common) >= s needs common >= s (width + length) / (1 + s)
+        need = F.greatest(F.ceil(similarity / (1 + similarity) * (width + length) - 1e-9), F.lit(1)).cast("int")
+        places = met.groupBy("doc_id", "size", "item_id", "words").agg(F.sort_array(F.collect_set("p")).alias("ps"))
+        places = places.withColumn("need", need).withColumn("width", width).filter(F.size("ps") >= F.col("need"))
+        # the windows that hold places i .. i + need - 1
+        runs = places.select("doc_id", "size", "words", "width", F.explode(F.transform(
+            F.sequence(F.lit(0), F.size("ps") - F.col("need")),
+            lambda i: F.struct(F.get("ps", i).alias("first"), F.get("ps", i + F.col("need") - 1).alias("last")),
+        )).alias("r"))
+        low = F.greatest(F.col("r.last") - F.col("width") + 1, F.lit(0))
+        high = F.least(F.col("r.first"), F.col("size") - F.col("width"))
+        starts = runs.filter(low <= high).select("doc_id", "size", "words", "width", F.explode(F.sequence(low, high)).alias("start")).distinct()
+        starts = stash(starts, "starts")
+        part = texts.join(small(starts, 32), ["doc_id", "size"])
+        part = part.select("doc_id", "words", F.lit(k).alias("k"), "start", F.slice("s", F.col("start") + 1, F.col("width")).alias("window"))
         found = part if found is None else found.unionByName(part)
     if found is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, start int, distance int, similarity double")

@@ -74,3 +74,19 @@ def test_edge_rows(spark):
     assert kept.columns == d.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["11", "12", "17", "None"]
     assert dec.contaminated(d.limit(0), i).collect() == [] and dec.contaminated(d, i.limit(0)).collect() == []
     assert dec.drop_contaminated(d, i.limit(0)).count() == len(docs)
+
+
+def test_moved_passages(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijk") for _ in range(6))
+    items, docs = [], []
+    for i, (n, moved) in enumerate([(50, 8), (55, 12), (100, 20), (100, 50), (60, 0), (60, 30)]):
+        ws = [word() for _ in range(n)]
+        items.append((i, " ".join(ws), ""))
+        around = lambda: " ".join(word() for _ in range(40))
+        docs.append((i, f"{around()} {' '.join(ws[n - moved:] + ws[:n - moved])} {around()}", "", ""))
+        docs.append((10 + i, " ".join(ws[: round(0.85 * n)]), "", ""))  # shorter than the item
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in dec.contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()}
+    want = {(d[0], i[0]): s for d in docs for i in items if (s := brute(d[1], i[1])) >= 0.8}
+    assert {(0, 0), (1, 1), (2, 2), (3, 3)} <= set(want)
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
