@@ -11,22 +11,18 @@ Distinct fingerprints are dealt to shards by keys that any two fingerprints
 within the radius share: with ``exact`` shards the bits are cut into
 ``radius + agree`` blocks and every choice of ``agree`` of them is a key, so by
 the pigeonhole principle no pair within the radius is lost.  Wide fingerprints
-with a large radius are sharded by sampled bit positions instead (``bands``).
+with a large radius are sharded by other keys (see ``neardup``).
 A shard's fingerprints form one BK-tree whose children are keyed by their
 integer Hamming distance to the parent; a search follows only the edges within
 the radius of its own distance.  Many small trees are grown and searched level
 by level in one set of arrays.  A shard above ``piece`` fingerprints is cut into
-pieces, and every pair of pieces becomes a shard of its own: the tree of a piece
-is sent to all pieces of its shard and to nothing else, so what is sent to a
-task is bounded, and no link is lost.
+pieces: a piece is searched against its own tree once, and against the tree of
+each piece before it, so what is sent to a task is bounded, no two fingerprints
+meet twice, and no link is lost.
 
 A shard emits a spanning forest of its links; components of all of them are
 found with distributed star rounds.
 
-``drop_near`` decides by the exact similarity of shingle sets instead, and takes
-its candidates from a prefix filter, as fingerprints tell that similarity only
-up to chance.
-
 Defined cases: a null text is an empty one; empty texts link like any others;
 rows with a null id get their fingerprint and a null component; repeated rows
 and ids count once; an empty table gives an empty result; further columns are
@@ -35,7 +31,6 @@ ignored.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -43,10 +38,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import drop_path, empty_text, small, stash
+from tessera.llm.common import BROADCAST_BYTES, empty_text, stash
 from tessera.llm.components import components
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -54,25 +49,21 @@ GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 FRONTIER = 1 << 19
 #: Rows gathered before a set of shards is searched.
 GATHER = 1 << 17
-#: Words of a shingle in ``drop_near``, and classes its shingles are counted in to order them.
-NEAR_WORDS = 5
-BUCKETS = 1 << 16
+#: A row's part in its shard: in the tree and searched, searched alone, in the tree alone.
+BOTH, ASKED, HELD = 0, 1, 2
 
 
 @dataclass(frozen=True)
 class SimHash:
     """Settings: shingle words, fingerprint lanes of 64 bits, and the radius.
 
-    ``agree`` sets exact shards; ``bands`` above 0 takes that many keys of
-    ``band_bits`` sampled bits instead.
+    ``agree`` sets how many blocks of bits a shard key has.
     """
 
     words: int = 4
     lanes: int = 1
     radius: int = 4
     agree: int = 2
-    bands: int = 0
-    band_bits: int = 12
     piece: int = 8192
 
     @property
@@ -139,26 +130,17 @@ def _mix(x: np.ndarray, salt: int) -> np.ndarray:
 
 
 def shard_keys(fps: np.ndarray, conf: SimHash) -> np.ndarray:
-    """A row of keys for each fingerprint; any pair within the radius shares one
-    (always with exact shards, else with the probability that ``bands`` gives)."""
+    """A row of keys for each fingerprint; any pair within the radius shares one."""
+    assert conf.lanes == 1, "shards of blocks are made for fingerprints of 64 bits"
     columns = []
-    if conf.bands:
-        rng = np.random.default_rng(20)
-        for band in range(conf.bands):
-            value = np.zeros(len(fps), np.uint64)
-            for p in rng.choice(conf.bits, conf.band_bits, replace=False).tolist():
-                value = (value << np.uint64(1)) | ((fps[:, p // 64] >> np.uint64(63 - p % 64)) & np.uint64(1))
-            columns.append(_mix(value, band + 1))
-    else:
-        assert conf.lanes == 1, "exact shards are made for fingerprints of 64 bits"
-        blocks = conf.radius + conf.agree
-        edges = [64 * b // blocks for b in range(blocks + 1)]
-        parts = [(fps[:, 0] >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1) for a, b in zip(edges, edges[1:], strict=False)]
-        for n, chosen in enumerate(combinations(range(blocks), conf.agree)):
-            value = np.zeros(len(fps), np.uint64)
-            for b in chosen:
-                value = (value << np.uint64(edges[b + 1] - edges[b])) | parts[b]
-            columns.append(_mix(value, n + 1))
+    blocks = conf.radius + conf.agree
+    edges = [64 * b // blocks for b in range(blocks + 1)]
+    parts = [(fps[:, 0] >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1) for a, b in zip(edges, edges[1:], strict=False)]
+    for n, chosen in enumerate(combinations(range(blocks), conf.agree)):
+        value = np.zeros(len(fps), np.uint64)
+        for b in chosen:
+            value = (value << np.uint64(edges[b + 1] - edges[b])) | parts[b]
+        columns.append(_mix(value, n + 1))
     return np.stack(columns, axis=1).view(np.int64)
 
 
@@ -195,21 +177,21 @@ class Forest:
         order = np.argsort(key, kind="stable")
         self.key, self.node = key[order], node[order]
 
-    def links(self, rows: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of a row and an earlier row of its shard within the radius."""
-        query, node = rows, self.root[rows]
-        stack = [(query, node)]
+    def links(self, fps: np.ndarray, root: np.ndarray, before: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of a place in ``fps`` and a row of the tree at ``root`` within the radius,
+        of rows before ``before`` alone."""
+        stack = [(np.arange(len(fps)), root)]
         while stack:
             query, node = stack.pop()
             if len(query) * self.fps.shape[1] > FRONTIER and len(query) > 1:
                 half = len(query) // 2
                 stack += [(query[:half], node[:half]), (query[half:], node[half:])]
                 continue
-            keep = node < query  # a child comes after its parent
+            keep = node < before[query]  # a child comes after its parent
             query, node = query[keep], node[keep]
             if not len(query):
                 continue
-            d = _distance(self.fps[query], self.fps[node])
+            d = _distance(fps[query], self.fps[node])
             near = d <= radius
             if near.any():
                 yield query[near], node[near]
@@ -221,6 +203,25 @@ class Forest:
                 stack.append((np.repeat(query, n), self.node[at]))
 
 
+def shard_links(key: np.ndarray, part: np.ndarray, fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows within the radius in all shards of ``key`` (sorted runs); ``part`` is a row's part in its shard."""
+    held = np.flatnonzero(part != ASKED)
+    forest = Forest(fps[held], key[held])
+    asked = np.flatnonzero(part != HELD)
+    at = np.searchsorted(key[held], key[asked])  # the first row of the shard's tree
+    some = at < len(held)
+    some[some] &= key[held][at[some]] == key[asked][some]
+    # a row of the tree meets the rows before it; one that only asks meets all
+    before = np.where(part[asked] == BOTH, np.searchsorted(held, asked), len(held))
+    some &= before > at
+    asked, at, before = asked[some], at[some], before[some]
+    step = 1 << 14
+    for i in range(0, len(asked), step):
+        rows = asked[i : i + step]
+        for q, n in forest.links(fps[rows], at[i : i + step], before[i : i + step], radius):
+            yield rows[q], held[n]
+
+
 def _labels(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """The least row that each row is linked to, over all pairs."""
     label = np.arange(n)
@@ -237,22 +238,67 @@ def _labels(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarra
     return label
 
 
-def spanning_links(key: np.ndarray, node: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def spanning_links(key: np.ndarray, node: np.ndarray, part: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links of all shards in ``key`` (sorted runs), reduced to a spanning forest."""
-    forest = Forest(fps, key)
-    sizes = np.bincount(forest.root, minlength=len(key))
-    rows = np.flatnonzero(sizes[forest.root] > 1)
-    step = 1 << 14
-
-    def pairs():
-        for at in range(0, len(rows), step):
-            yield from forest.links(rows[at : at + step], radius)
-
-    label = _labels(len(key), pairs())
+    label = _labels(len(key), shard_links(key, part, fps, radius))
     tied = np.flatnonzero(label != np.arange(len(key)))
     return node[tied], node[label[tied]]
 
 
+def whole_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by their first column, cut anew so that none of its values goes over a cut."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+
+    def joined() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else held[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= GATHER:
+            all_ = joined()
+            keys = all_.column(0).to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1]))  # the last shard may go on
+            if cut:
+                yield all_.slice(0, cut)
+            held = [all_.slice(cut)]
+            rows = held[0].num_rows
+    if held:
+        yield joined()
+
+
+def split_shards(rows: DataFrame, piece: int) -> DataFrame:
+    """``rows(key, node, ...)`` with their ``part``; shards above ``piece`` rows are cut into
+    pieces, each its own tree, and each asked for once by every piece after it."""
+    hot = stash(
+        rows.groupBy("key").count().filter(F.col("count") > piece)
+        .select("key", F.ceil(F.col("count") / piece).cast("int").alias("pieces")),
+        "hot",
+    )
+    whole = rows.withColumn("part", F.lit(BOTH))
+    n_hot = hot.count()
+    if not n_hot:
+        return whole
+    hot = F.broadcast(hot) if n_hot * 24 <= BROADCAST_BYTES else hot
+    rest = [c for c in rows.columns if c != "key"]
+    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("pieces")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
+    part = F.when(F.col("own") == F.col("other"), BOTH).when(F.col("own") < F.col("other"), HELD).otherwise(ASKED)
+    split = (
+        rows.join(hot, "key").select("key", *rest, "pieces", own.alias("own")).select("key", *rest, "own", other.alias("other"))
+        .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), *rest, part.alias("part"))
+    )
+    return whole.join(hot, "key", "left_anti").unionByName(split)
+
+
+def dealt_by_key(rows: DataFrame, *order: str) -> DataFrame:
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return rows.repartition(n, "key").sortWithinPartitions("key", *order)
+
+
 def near_links(distinct: DataFrame, conf: SimHash) -> DataFrame:
     """``distinct(node, fp)`` -> links ``(u, v)`` that span all pairs within the radius."""
     lanes, radius = conf.lanes, conf.radius
@@ -260,50 +306,22 @@ def near_links(distinct: DataFrame, conf: SimHash) -> DataFrame:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                keys = shard_keys(_matrix(part.column(1), lanes), conf)
-                index = pa.array(np.repeat(np.arange(part.num_rows), keys.shape[1]))
+                some = batch.slice(at, 4096)
+                keys = shard_keys(_matrix(some.column(1), lanes), conf)
+                index = pa.array(np.repeat(np.arange(some.num_rows), keys.shape[1]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.ravel()), part.column(0).take(index), part.column(1).take(index)], ["key", "node", "fp"]
+                    [pa.array(keys.ravel()), some.column(0).take(index), some.column(1).take(index)], ["key", "node", "fp"]
                 )
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(key, node, fps):
-            u, v = spanning_links(key, node, fps, radius)
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-
-        held = None
-        for batch in batches:
-            now = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2), lanes)]
-            held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
-            if len(held[0]) >= GATHER:
-                cut = int(np.searchsorted(held[0], held[0][-1]))  # the last shard may go on
-                if cut:
-                    yield out(*(x[:cut] for x in held))
-                    held = [x[cut:] for x in held]
-        if held is not None and len(held[0]):
-            yield out(*held)
+        for batch in whole_shards(batches):
+            key, node, part = (batch.column(i).to_numpy() for i in range(3))
+            u, v = spanning_links(key, node, part, _matrix(batch.column(3), lanes), radius)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     rows = distinct.select("node", "fp").filter("node is not null").mapInArrow(deal, "key long, node long, fp binary")
-    rows = stash(rows, "shards")
-    hot = stash(
-        rows.groupBy("key").count().filter(F.col("count") > conf.piece)
-        .select("key", F.ceil(F.col("count") / conf.piece).cast("int").alias("pieces")),
-        "hot",
-    )
-    if n_hot := hot.count():
-        if n_hot <= 100_000:
-            hot = F.broadcast(hot)
-        own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("pieces"))
-        other = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
-        split = (
-            rows.join(hot, "key").select("key", "node", "fp", own.alias("own"), other.alias("other"))
-            .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node", "fp")
-        )
-        rows = rows.join(hot, "key", "left_anti").unionByName(split)
-    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = rows.repartition(n, "key").sortWithinPartitions("key", "node")
-    return dealt.mapInArrow(search, "u long, v long").distinct()
+    rows = split_shards(stash(rows, "shards"), conf.piece)
+    return dealt_by_key(rows.select("key", "node", "part", "fp"), "node").mapInArrow(search, "u long, v long").distinct()
 
 
 def near_classes(docs: DataFrame, conf: SimHash = SimHash()) -> DataFrame:  # noqa: B008
@@ -316,169 +334,3 @@ def near_classes(docs: DataFrame, conf: SimHash = SimHash()) -> DataFrame:  # no
     return fps.join(named, "fp", "left").select(
         "doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("root")).alias("component_id")
     )
-
-
-def expected_recall(similarity: float, conf: SimHash) -> float:
-    """Share of pairs of that cosine similarity that share a key of sampled bits."""
-    same = 1 - math.acos(similarity) / math.pi
-    return 1 - (1 - same**conf.band_bits) ** conf.bands
-
-
-def wide(n_rows: int) -> SimHash:
-    """Settings for five-word shingles and a Jaccard similarity of 0.8 or more.
-
-    A similarity of 0.8 is a cosine of 0.889 between the shingle counts, under
-    which 15 of 100 bits differ, 78 of 512; the radius of 88 leaves room for
-    chance (measured: all pairs at 0.8 or more, and a third of those from 0.7 to 0.8).  The sampled bits of a key grow with the logarithm of the rows, so a
-    shard of unrelated texts stays about as large, and the number of keys with
-    them, so that 98.5 % of the pairs at the very limit share one.
-    """
-    bits = min(24, max(11, math.ceil(math.log2(max(n_rows, 2))) - 7))
-    bands = math.ceil(math.log(0.015) / math.log(1 - 0.8487**bits))
-    return SimHash(words=5, lanes=8, radius=88, bands=bands, band_bits=bits)
-
-
-def _least_common(similarity: float, n: int) -> int:
-    return math.ceil(similarity * n - 1e-9)
-
-
-def _contents(rows: DataFrame) -> DataFrame:
-    """``rows(doc_id, text)`` -> ``(doc_id, key)``, the key telling shingle sets apart, and
-    ``(bucket, seen)``: how many shingles of the distinct ones of each text fell to a bucket."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "key", "bucket", "seen"]
-        seen = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                keys = []
-                for x in part.column(1):
-                    s = np.unique(shingle_hashes(x.as_py(), NEAR_WORDS))
-                    np.add.at(seen, (s >> np.uint64(48)).astype(np.int64), 1)
-                    keys.append(xxhash.xxh128_digest(s.tobytes()))
-                none = pa.nulls(part.num_rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), none, none], names)
-        used = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.binary()), pa.array(used), pa.array(seen[used])], names)
-
-    return rows.mapInArrow(run, "doc_id long, key binary, bucket long, seen long")
-
-
-def _prefixes(rows: DataFrame, seen: np.ndarray, similarity: float) -> DataFrame:
-    """``(h, node, n, pos)``: the shingles of each set's prefix, rarer buckets first.
-
-    Two sets of ``similarity`` or more share at least that share of the larger one, so
-    their prefixes meet under any order of all shingles; ``seen`` only sets the order.
-    """
-    shared = rows.sparkSession.sparkContext.broadcast(seen)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                h, size, count = [np.empty(0, np.uint64)], [], []
-                for x in part.column(1):
-                    s = np.unique(shingle_hashes(x.as_py(), NEAR_WORDS))
-                    n = len(s) - _least_common(similarity, len(s)) + 1 if len(s) else 0
-                    h.append(s[np.lexsort((s, shared.value[(s >> np.uint64(48)).astype(np.int64)]))[:n]])
-                    size.append(len(s))
-                    count.append(n)
-                count = np.array(count, np.int64)
-                pos = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                node = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), count)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(h).view(np.int64)), node, pa.array(np.repeat(np.array(size, np.int32), count)), pa.array(pos.astype(np.int32))],
-                    ["h", "node", "n", "pos"],
-                )
-
-    return rows.mapInArrow(run, "h long, node long, n int, pos int")
-
-
-def _shingle_sets(rows: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                sets = [np.unique(shingle_hashes(x.as_py(), NEAR_WORDS)).view(np.int64) for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "s"])
-
-    return rows.mapInArrow(run, "node long, s array<bigint>")
-
-
-def _possible(a: str, b: str, similarity: float) -> Column:
-    """Whether sizes and places of a common shingle leave room for ``similarity``; true at
-    the first common shingle of any pair that has it."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    most = F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos"))
-    return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9) & (most >= similarity / (1 + similarity) * (n + m) - 1e-9)
-
-
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``(u, v)`` of which the shingle sets' Jaccard similarity is ``similarity`` or more."""
-    # the end that many pairs share comes first, while rows are narrow
-    both = pairs.join(sets.select(F.col("node").alias("v"), F.col("s").alias("sv")), "v").join(sets.select(F.col("node").alias("u"), F.col("s").alias("su")), "u")
-    common = F.size(F.array_intersect("su", "sv"))
-    return both.filter(common / (F.size("su") + F.size("sv") - common) >= similarity).select("u", "v")
-
-
-def similar_roots(rows: DataFrame, pref: DataFrame, similarity: float) -> DataFrame:
-    """``(node, root)`` of the components of all pairs of ``similarity`` or more, each link verified.
-
-    Groups that share a prefix shingle are first linked to their first members; a
-    shingle all of whose texts are in one component is then done with, so large groups of
-    copies never meet in pairs.  The last round compares all pairs that are still apart.
-    """
-    often = stash(pref.groupBy("h").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("h"), "often")
-    shared = stash(pref.join(small(often, 16), "h"), "shared")
-    drop_path(pref.sparkSession, pref.stash_path)
-    nodes = stash(shared.select("node").distinct(), "nodes")
-    sets = stash(_shingle_sets(rows.join(small(nodes, 16), rows["doc_id"] == nodes["node"], "left_semi")), "sets")
-    links, roots = None, None
-    for last in (False, False, True):
-        if roots is not None:
-            shared = shared.drop("root").join(roots, "node", "left")
-        now = shared.withColumn("root", F.coalesce("root", "node") if roots is not None else F.col("node"))
-        ends = now.groupBy("h").agg(F.min("root").alias("lo_root"), F.max("root").alias("hi_root")).filter("lo_root <> hi_root").drop("hi_root")
-        open_ = stash(now.join(ends, "h").select("h", "node", "n", "pos", "root", "lo_root"), "open")
-        if last:
-            pairs = open_.alias("a").join(open_.alias("b"), "h").filter("a.node > b.node and a.root <> b.root")
-        else:
-            # a component's least node may lack the shingle: its least node in the group stands for it
-            heads = open_.filter("root = lo_root").groupBy("h", "root").agg(F.min("node").alias("node"))
-            heads = heads.join(open_.select("h", "node", "n", "pos"), ["h", "node"])
-            pairs = open_.alias("a").join(heads.alias("b"), "h").filter("a.root <> b.root")
-        pairs = pairs.filter(_possible("a", "b", similarity)).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
-        found = stash(_similar(pairs, sets, similarity), "links")
-        drop_path(pref.sparkSession, open_.stash_path)
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
-    return roots
-
-
-def drop_near(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """``docs`` without all but one document (the least ``doc_id``) of each near-duplicate class.
-
-    Classes are the components of all pairs of documents whose sets of five-word shingles
-    have a Jaccard similarity of ``similarity`` or more: candidates come from a prefix filter,
-    which loses none, and are decided by their sets.  Rows with a null id stay.  All columns are kept.
-    """
-    if docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        docs = stash(_one_row_each(docs), "single")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), empty_text("text").cast("binary").alias("text")).filter("doc_id is not null")
-    made = stash(_contents(rows), "contents")
-    seen = np.zeros(BUCKETS, np.int64)
-    for r in made.filter("bucket is not null").groupBy("bucket").agg(F.sum("seen").alias("n")).collect():  # at most BUCKETS
-        seen[r["bucket"]] = r["n"]
-    ids = made.filter("key is not null")
-    first = ids.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    copies = stash(ids.join(first, "doc_id", "left_anti").select("doc_id"), "copies")
-    single = rows.join(small(copies, 16), "doc_id", "left_anti")
-    roots = similar_roots(single, stash(_prefixes(single, seen, similarity), "prefixes"), similarity)
-    gone = stash(copies.unionByName(roots.filter("node <> root").select(F.col("node").alias("doc_id"))).select(F.col("doc_id").alias("__gone")), "gone")
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
-
-
-def _one_row_each(docs: DataFrame) -> DataFrame:
-    named = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null"))

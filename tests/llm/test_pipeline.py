@@ -1,15 +1,33 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 import corpus_pipeline
 
-from tessera.llm import decontaminate, pieces, simhash, toxicity
+from tessera.llm import decontaminate, pieces, toxicity
 from tessera.llm.common import read, stash
 
 SF = "/root/testdata/sf0.001"
 
 
+def least_of_classes(texts):
+    """The least id of each component of pairs of similarity 0.8 or more, by brute force over the words."""
+    words = {d: [w for w in re.split("[\\x20\\x09-\\x0d]+", "".join(c.lower() if c < "\\x80" else c for c in t or "")) if w] for d, t in texts.items()}
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set() for d, w in words.items()}
+    near = {d: {o for o in sets if o == d or 5 * len(sets[o] & sets[d]) >= 4 * len(sets[o] | sets[d])} for d in sets}
+    left, done = set(), set()
+    for d in sorted(sets):
+        if d in done:
+            continue
+        left.add(d)
+        todo = {d}
+        while todo:
+            done |= todo
+            todo = set().union(*(near[o] for o in todo)) - done
+    return left
+
+
 def test_stages_by_their_operators(spark):
     docs = read(spark, SF, "documents")
     rows = {r["doc_id"]: r for r in docs.collect()}
@@ -18,12 +36,7 @@ def test_stages_by_their_operators(spark):
     now = stash(corpus_pipeline.without_toxic(spark, docs, SF))
     assert now.columns == docs.columns and {r["doc_id"] for r in now.collect()} == kept
 
-    conf = simhash.wide(len(kept))
-    fps = {d: int.from_bytes(simhash.fingerprint((rows[d]["text"] or "").encode(), conf.words, conf.lanes), "big") for d in kept}
-    left = set(kept)
-    for d in sorted(kept):  # every pair within the radius, by brute force
-        if any(o < d and (fps[o] ^ fps[d]).bit_count() <= conf.radius for o in kept):
-            left.discard(d)
+    left = least_of_classes({d: rows[d]["text"] for d in kept})
     now = stash(corpus_pipeline.without_near_duplicates(spark, now, SF))
     assert now.columns == docs.columns and {r["doc_id"] for r in now.collect()} == left
 
@@ -40,17 +53,7 @@ def test_stages_by_their_operators(spark):
 
 def test_near_duplicates_by_shingle_similarity(spark):
     docs = read(spark, SF, "documents")
-    sets = {r["doc_id"]: set(simhash.shingle_hashes((r["text"] or "").encode(), 5).tolist()) for r in docs.collect()}
-    near = {d: {o for o in sets if o == d or 5 * len(sets[o] & sets[d]) >= 4 * len(sets[o] | sets[d])} for d in sets}
-    left, done = set(), set()
-    for d in sorted(sets):  # the least id of each component, by brute force
-        if d in done:
-            continue
-        left.add(d)
-        todo = {d}
-        while todo:
-            done |= todo
-            todo = set().union(*(near[o] for o in todo)) - done
+    left = least_of_classes({r["doc_id"]: r["text"] for r in docs.collect()})
     assert {r["doc_id"] for r in corpus_pipeline.without_near_duplicates(spark, docs, SF).collect()} == left
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tessera.llm import simhash
+from tessera.llm import neardup, simhash
 from tessera.llm.common import read
 
 SF = "/root/testdata/sf0.001"
@@ -95,11 +95,11 @@ def test_forest_is_the_sequential_tree_and_finds_all(spark):
                 break
             at = children[at, d]
     assert dict(zip(forest.key.tolist(), forest.node.tolist(), strict=True)) == {a * 65 + d: i for (a, d), i in children.items()}
-    pairs = {(int(a), int(b)) for q, n in forest.links(np.arange(len(fps)), 3) for a, b in zip(q, n, strict=True)}
+    pairs = {(int(a), int(b)) for q, n in forest.links(fps, np.zeros(len(fps), np.int64), np.arange(len(fps)), 3) for a, b in zip(q, n, strict=True)}
     assert pairs == {(i, j) for i in range(len(fps)) for j in range(i) if int(fps[i, 0] ^ fps[j, 0]).bit_count() <= 3}
 
 
-def test_wide_settings_catch_copies_and_leave_others(spark):
+def test_near_dedup_catches_copies_and_leave_others(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
     rows = []
@@ -110,7 +110,7 @@ def test_wide_settings_catch_copies_and_leave_others(spark):
             near[p] = word()
         rows += [(3 * i, " ".join(words), "", ""), (3 * i + 1, " ".join(near), "", ""), (3 * i + 2, " ".join(word() for _ in range(300)), "", "")]
     docs = spark.createDataFrame([*rows, rows[0], (None, "alone", "", "")], SCHEMA)
-    kept = simhash.drop_near(docs)
+    kept = neardup.drop_near(docs)
     assert kept.columns == docs.columns
     ids = [r["doc_id"] for r in kept.collect()]
     assert len(ids) == len(set(ids)) and None in ids
@@ -118,10 +118,6 @@ def test_wide_settings_catch_copies_and_leave_others(spark):
     assert sum(1 for i in ids if i is not None and i % 3 == 1) <= 1
 
 
-def test_expected_recall():
-    assert simhash.expected_recall(0.889, simhash.wide(250_000)) > 0.98
-
-
 def test_drop_near_against_brute_force_jaccard(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
@@ -148,5 +144,5 @@ def test_drop_near_against_brute_force_jaccard(spark):
             if not both or len(sets[i] & sets[j]) / both >= 0.8:
                 a, b = find(i), find(j)
                 parent[max(a, b)] = min(a, b)
-    got = {r["doc_id"] for r in simhash.drop_near(spark.createDataFrame([(i, t, "", "") for i, t in enumerate(rows)], SCHEMA)).collect()}
+    got = {r["doc_id"] for r in neardup.drop_near(spark.createDataFrame([(i, t, "", "") for i, t in enumerate(rows)], SCHEMA)).collect()}
     assert got == {i for i in range(len(rows)) if find(i) == i}
