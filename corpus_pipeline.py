@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, pieces, simhash, toxicity
+from tessera.llm import decontaminate, neardup, pieces, toxicity
 from tessera.llm.common import read, stash
 from tessera.llm.queries import MODEL
 
@@ -24,7 +24,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.drop_near(docs)
+    return neardup.drop_near(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
