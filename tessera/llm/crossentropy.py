@@ -1,20 +1,29 @@
 """Cross-entropy difference between a target and a background language model.
 
 Both are bigram models with Dirichlet smoothing towards their unigrams, over one
-shared vocabulary: the slots of a fixed hash space, ``2**unigram_bits`` for
-words and ``2**bigram_bits`` for pairs.  The space bounds the tables by
-construction, whatever the corpus holds, so they can be broadcast; counts are
-taken over all words of all documents.  The target model is counted over the
-documents marked as targets, the background over all documents, so the target's
-share of the background keeps its loss finite wherever the target's is.
+shared vocabulary: every distinct word of the corpus.  Words and pairs are told
+apart by 64-bit hashes and counted exactly, over all words of all documents; no
+count is merged, pruned or sampled, and the tables grow with the corpus.  The
+target model is counted over the documents marked as targets, the background
+over all documents.  The models are matched: background counts are scaled to the
+target's number of words, so the same pseudo-counts weigh alike in both.
+
+    p(word) = (count + word_mass) / (N + word_mass * V)
+    p(word | context) = (count of the pair + context_mass * p(word)) / (count of the context + context_mass)
 
 A document's score is the mean over its words of the target model's loss less
 the background's, in nats: the lower, the more like the target.
 
+No table of counts is broadcast or gathered.  Documents are dealt to blocks of
+about ``block_bytes``.  A block counts its own words and pairs; the counts meet by
+key, and a key that several blocks hold is told its totals back, to those blocks
+alone; other keys' totals are the block's own.  A block is one task's memory, so a
+common word costs a row for each block and no more.
+
 Defined cases: null, empty and wordless texts have no word and score 0; without
-any target document the target counts are all zero and both losses are the
-smoothing's; repeated rows are counted and scored each; an empty table gives an
-empty result; further columns are ignored.
+any target document both models are the smoothing's and all scores are 0; repeated
+rows are counted and scored each; an empty table gives an empty result; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,144 +34,172 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small
+from tessera.llm.common import empty_text, small, stash
+from tessera.llm.shingles import mix, words_of_texts
 
-START = np.uint64(0x5DEECE66D)
-MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+ONE = np.uint64(1)
+#: The context of a text's first word; keys of words are odd, those of pairs even.
+START = np.uint64(0x5DEECE66D1CE4E5B)
 
 
 @dataclass(frozen=True)
-class Space:
-    unigram_bits: int = 18
-    bigram_bits: int = 20
-    #: Pseudo-counts given to a context's unigram distribution, and to each slot.
+class Smoothing:
     context_mass: float = 4.0
-    slot_mass: float = 0.05
-
-    @property
-    def words(self) -> int:
-        return 1 << self.unigram_bits
-
-    @property
-    def slots(self) -> int:
-        return self.words + (1 << self.bigram_bits)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * MIX_A
-    x = (x ^ (x >> np.uint64(27))) * MIX_B
-    return x ^ (x >> np.uint64(31))
-
-
-def slots_of(words: np.ndarray, first: np.ndarray, space: Space) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slots of each word, of its context, and of the pair; ``first`` marks words that open a text."""
-    h = words.astype(np.uint64) if words.dtype != np.int64 else words.view(np.uint64)
-    before = np.concatenate((h[:1], h[:-1])) if len(h) else h
-    before = np.where(first, START, before)
-    own = _mix(h) >> np.uint64(64 - space.unigram_bits)
-    context = _mix(before) >> np.uint64(64 - space.unigram_bits)
-    pair = _mix(_mix(before) ^ (h * np.uint64(3))) >> np.uint64(64 - space.bigram_bits)
-    return own.astype(np.int64), context.astype(np.int64), pair.astype(np.int64) + space.words
-
-
-def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The words of all texts, the number of the text of each, and whether it opens it."""
-    offsets = column.offsets.to_numpy()
-    flat = column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
-    sizes = np.diff(offsets)
-    first = np.zeros(len(flat), bool)
-    first[(offsets[:-1] - offsets[0])[sizes > 0]] = True
-    return flat, np.repeat(np.arange(len(sizes)), sizes), first
+    word_mass: float = 0.05
+    #: Bytes of text of a block.
+    block_bytes: int = 12 << 20
 
 
 @dataclass
-class Model:
-    """Counts of one corpus by slot."""
-
-    counts: np.ndarray
-    space: Space
-
-    def __post_init__(self):
-        own = self.counts[: self.space.words]
-        total = own.sum()
-        self.unigram = (own + self.space.slot_mass) / (total + self.space.slot_mass * self.space.words)
-
-    def loss(self, own: np.ndarray, context: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        c = self.counts
-        # a slot may be shared: a pair is not more frequent than its words
-        seen = np.minimum(c[pair], np.minimum(c[context], c[own]))
-        mass = self.space.context_mass
-        return -np.log((seen + mass * self.unigram[own]) / (c[context] + mass))
-
-
-def word_rows(docs: DataFrame, *more) -> DataFrame:
-    words = F.array_remove(F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), r"[\s]+"), "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.transform(words, lambda w: F.xxhash64(w)).alias("words"), *more)
-
-
-def count_slots(docs: DataFrame, space: Space) -> DataFrame:
-    """``docs(doc_id, text, is_target)`` -> ``(slot, target, background)`` over all words of all rows."""
+class Tokens:
+    """The words of a block's texts: distinct keys, and for each word those of itself, its pair and its context."""
+
+    keys: np.ndarray
+    own: np.ndarray
+    pair: np.ndarray
+    context: np.ndarray
+    text: np.ndarray
+    sizes: np.ndarray
+    starts: np.ndarray  # the texts that have words
+
+    @classmethod
+    def of(cls, texts: list[bytes]) -> Tokens:
+        words, sizes = words_of_texts(texts)
+        words = words | ONE
+        opens = np.zeros(len(words), bool)
+        opens[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+        before = np.concatenate((words[:1], words[:-1]))
+        before[opens] = START
+        pairs = mix((before ^ (before >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + words) & ~ONE
+        flat = np.concatenate((words, pairs, np.array([START])))
+        order = np.argsort(flat)
+        ranked = flat[order]
+        lead = np.concatenate(([True], ranked[1:] != ranked[:-1]))
+        place = np.empty(len(flat), np.int32)
+        place[order] = np.cumsum(lead) - 1
+        n = len(words)
+        own = place[:n]
+        context = np.concatenate((own[:1], own[:-1]))
+        context[opens] = place[-1]
+        return cls(ranked[lead], own, place[n : 2 * n], context, np.repeat(np.arange(len(sizes)), sizes), sizes, np.flatnonzero(sizes > 0))
+
+    def counts(self, chosen: np.ndarray) -> np.ndarray:
+        """How often each key occurs in the chosen texts; the start counts once a text with words."""
+        words = chosen[self.text]
+        n = len(self.keys)
+        found = np.bincount(self.own[words], minlength=n) + np.bincount(self.pair[words], minlength=n)
+        found[np.searchsorted(self.keys, START)] += int(chosen[self.starts].sum())
+        return found
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """The rows of each value of the first column, by which batches are sorted."""
+    held, block = [], None
+    for batch in batches:
+        ids = batch.column(0).to_numpy()
+        for at in np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))).tolist() if len(ids) else []:
+            end = int(np.searchsorted(ids, ids[at], "right"))
+            if block is not None and ids[at] != block:
+                yield block, pa.Table.from_batches(held)
+                held = []
+            block = int(ids[at])
+            held.append(batch.slice(at, end - at))
+    if held:
+        yield block, pa.Table.from_batches(held)
+
+
+def in_blocks(docs: DataFrame, n: int) -> DataFrame:
+    """``docs(doc_id, text, is_target)`` with the number of the block of each row."""
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
+    return docs.select(block.alias("block"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("is_target", F.lit(False)).alias("is_target"), empty_text("text").cast("binary").alias("text"))
+
+
+def block_counts(rows: DataFrame, n: int) -> DataFrame:
+    """``(key, block, own, target)``: how often a block's texts hold each word and pair, and its target texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target, background = np.zeros(space.slots, np.int64), np.zeros(space.slots, np.int64)
-        for batch in batches:
-            words, text, first = _lists(batch.column(1))
-            own, _, pair = slots_of(words, first, space)
-            # an opening context is counted like a word, as it stands before one
-            opens = np.full(int(first.sum()), _mix(np.array([START]))[0] >> np.uint64(64 - space.unigram_bits)).astype(np.int64)
-            chosen = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)[text]
-            for counts, keep, starts in ((background, slice(None), opens), (target, chosen, opens[chosen[first]])):
-                for slots in (own[keep], pair[keep], starts):
-                    counts += np.bincount(slots, minlength=space.slots)
-        used = np.flatnonzero(background)
-        for at in range(0, len(used), 1 << 16):
-            part = used[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(target[part]), pa.array(background[part])], ["slot", "target", "background"])
-
-    rows = word_rows(docs, F.coalesce(F.col("is_target"), F.lit(False)).alias("is_target"))
-    counted = rows.mapInArrow(run, "slot long, target long, background long")
-    return counted.groupBy("slot").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-
-
-def fit(docs: DataFrame, space: Space = Space()) -> tuple[Model, Model]:  # noqa: B008
-    """Target and background models; at most ``space.slots`` rows reach the driver."""
-    table = count_slots(docs, space).toArrow()
-    slot = table["slot"].to_numpy()
-    made = []
-    for name in ("target", "background"):
-        counts = np.zeros(space.slots, np.float64)
-        counts[slot] = table[name].to_numpy()
-        made.append(Model(counts, space))
-    return made[0], made[1]
-
-
-def score(docs: DataFrame, target: Model, background: Model) -> DataFrame:
-    """``(doc_id, n_words, target_loss, background_loss, score)`` for each row."""
-    space = target.space
-    shared = docs.sparkSession.sparkContext.broadcast((target.counts.astype(np.float32), background.counts.astype(np.float32)))
+        for block, part in _blocks(batches):
+            tokens = Tokens.of(part["text"].to_pylist())
+            targets = np.asarray(part["is_target"].to_numpy(), bool)
+            keys, own, target = tokens.keys.view(np.int64), tokens.counts(np.ones(len(targets), bool)), tokens.counts(targets)
+            del tokens
+            for at in range(0, len(keys), 1 << 16):
+                end = min(at + (1 << 16), len(keys))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys[at:end]), pa.array(np.full(end - at, block, np.int32)), pa.array(own[at:end].astype(np.int32)), pa.array(target[at:end].astype(np.int32))],
+                    ["key", "block", "own", "target"],
+                )
+
+    dealt = rows.select("block", "is_target", "text").repartitionById(n, "block").sortWithinPartitions("block")
+    return dealt.mapInArrow(run, "key long, block int, own int, target int")
+
+
+def totals(counted: DataFrame) -> DataFrame:
+    """``(key, block, n, t, first)``: the corpus totals of each key, a row for each block that
+    holds it; ``first`` marks one row of a key."""
+    keyed = W.partitionBy("key")
+    return counted.select(
+        "key", "block", F.sum("own").over(keyed).alias("n"), F.sum("target").over(keyed).alias("t"), F.count(F.lit(1)).over(keyed).alias("blocks"),
+        (F.min("block").over(keyed) == F.col("block")).alias("first"),
+    )
+
+
+def score(docs: DataFrame, smoothing: Smoothing = Smoothing()) -> DataFrame:  # noqa: B008
+    """``docs(doc_id, text, is_target)`` -> ``(doc_id, n_words, target_loss, background_loss, score)`` for each row."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-size // smoothing.block_bytes))
+    rows = in_blocks(docs, n)
+    made = totals(block_counts(rows, n))
+    is_word = (F.col("key").bitwiseAND(1) == 1) & (F.col("key") != int(START.view(np.int64)))
+    # a key that one block alone holds needs no telling; words are kept for the vocabulary's size and totals
+    several = stash(
+        made.select("key", "block", "n", "t", "first", (F.col("blocks") > 1).alias("told"), is_word.alias("is_word")).filter("told or is_word"), "totals"
+    )
+    words = several.filter("is_word and first").agg(F.count(F.lit(1)), F.sum("n"), F.sum("t")).first()
+    vocabulary, all_words, all_targets = words[0], words[1] or 0, words[2] or 0
+    scale = all_targets / all_words if all_words else 0.0
+    context_mass, word_mass = smoothing.context_mass, smoothing.word_mass
+    whole = all_targets + word_mass * vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = [Model(c.astype(np.float64), space) for c in shared.value]
-        for batch in batches:
-            words, text, first = _lists(batch.column(1))
-            slots = slots_of(words, first, space)
-            n = np.bincount(text, minlength=batch.num_rows)
-            a, b = (np.bincount(text, weights=m.loss(*slots), minlength=batch.num_rows) / np.maximum(n, 1) for m in models)
+        for _, part in _blocks(batches):
+            is_text = part["is_text"].to_numpy()
+            told, texts = part.filter(pa.array(~is_text)), part.filter(pa.array(is_text))
+            del part
+            if not len(texts):
+                continue
+            tokens = Tokens.of(texts["text"].to_pylist())
+            target = tokens.counts(np.asarray(texts["is_target"].to_numpy(), bool)).astype(np.float64)
+            background = tokens.counts(np.ones(len(texts), bool)).astype(np.float64)
+            at = np.searchsorted(tokens.keys, told["key"].to_numpy().view(np.uint64))
+            target[at], background[at] = told["t"].to_numpy(), told["n"].to_numpy()
+            losses = []
+            for counts in (target, background * scale):
+                word = (counts[tokens.own] + word_mass) / whole
+                p = (counts[tokens.pair] + context_mass * word) / (counts[tokens.context] + context_mass)
+                losses.append(np.bincount(tokens.text, weights=-np.log(p), minlength=len(texts)) / np.maximum(tokens.sizes, 1))
+            a, b = losses
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *map(pa.array, (n, a, b, a - b))], ["doc_id", "n_words", "target_loss", "background_loss", "score"]
+                [texts["doc_id"].combine_chunks(), *map(pa.array, (tokens.sizes.astype(np.int64), a, b, a - b))],
+                ["doc_id", "n_words", "target_loss", "background_loss", "score"],
             )
 
-    return word_rows(docs).mapInArrow(run, "doc_id long, n_words long, target_loss double, background_loss double, score double")
+    none = F.lit(None)
+    told = several.filter("told").select("block", F.lit(False).alias("is_text"), none.cast("long").alias("doc_id"), none.cast("boolean").alias("is_target"), none.cast("binary").alias("text"), "key", "n", "t")
+    asked = rows.select("block", F.lit(True).alias("is_text"), "doc_id", "is_target", "text", none.cast("long").alias("key"), none.cast("long").alias("n"), none.cast("long").alias("t"))
+    met = told.unionByName(asked).repartitionById(n, "block").sortWithinPartitions("block")
+    return met.mapInArrow(run, "doc_id long, n_words long, target_loss double, background_loss double, score double")
 
 
 def mark_targets(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with ``is_target``: whether its id is labelled as of good quality."""
+    """``(doc_id, text, is_target)``: whether the id is labelled as of good quality."""
     good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("__good")).distinct()
     joined = docs.select("doc_id", "text").join(small(good, 16), F.col("doc_id") == F.col("__good"), "left")
     return joined.select("doc_id", "text", F.col("__good").isNotNull().alias("is_target"))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, space: Space = Space()) -> DataFrame:  # noqa: B008
-    return score(docs, *fit(mark_targets(docs, labels), space))
+def score_documents(docs: DataFrame, labels: DataFrame, smoothing: Smoothing = Smoothing()) -> DataFrame:  # noqa: B008
+    return score(mark_targets(docs, labels), smoothing)
