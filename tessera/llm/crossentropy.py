@@ -17,8 +17,8 @@ the background's, in nats: the lower, the more like the target.
 No table of counts is broadcast or gathered.  Documents are dealt to blocks of
 about ``block_bytes``.  A block counts its own words and pairs; the counts meet by
 key, and a key that several blocks hold is told its totals back, to those blocks
-alone; other keys' totals are the block's own.  A block is one task's memory, so a
-common word costs a row for each block and no more.
+alone; other keys' totals are the block's own.  A block, or as large a share of the
+keys, is one task's memory, and a common word costs a row for each block and no more.
 
 Defined cases: null, empty and wordless texts have no word and score 0; without
 any target document both models are the smoothing's and all scores are 0; repeated
@@ -32,9 +32,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.common import empty_text, small, stash
@@ -53,62 +54,46 @@ class Smoothing:
     block_bytes: int = 12 << 20
 
 
-@dataclass
-class Tokens:
-    """The words of a block's texts: distinct keys, and for each word those of itself, its pair and its context."""
-
-    keys: np.ndarray
-    own: np.ndarray
-    pair: np.ndarray
-    context: np.ndarray
-    text: np.ndarray
-    sizes: np.ndarray
-    starts: np.ndarray  # the texts that have words
-
-    @classmethod
-    def of(cls, texts: list[bytes]) -> Tokens:
-        words, sizes = words_of_texts(texts)
-        words = words | ONE
-        opens = np.zeros(len(words), bool)
-        opens[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
-        before = np.concatenate((words[:1], words[:-1]))
-        before[opens] = START
-        pairs = mix((before ^ (before >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + words) & ~ONE
-        flat = np.concatenate((words, pairs, np.array([START])))
-        order = np.argsort(flat)
-        ranked = flat[order]
-        lead = np.concatenate(([True], ranked[1:] != ranked[:-1]))
-        place = np.empty(len(flat), np.int32)
-        place[order] = np.cumsum(lead) - 1
-        n = len(words)
-        own = place[:n]
-        context = np.concatenate((own[:1], own[:-1]))
-        context[opens] = place[-1]
-        return cls(ranked[lead], own, place[n : 2 * n], context, np.repeat(np.arange(len(sizes)), sizes), sizes, np.flatnonzero(sizes > 0))
-
-    def counts(self, chosen: np.ndarray) -> np.ndarray:
-        """How often each key occurs in the chosen texts; the start counts once a text with words."""
-        words = chosen[self.text]
-        n = len(self.keys)
-        found = np.bincount(self.own[words], minlength=n) + np.bincount(self.pair[words], minlength=n)
-        found[np.searchsorted(self.keys, START)] += int(chosen[self.starts].sum())
-        return found
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
-    """The rows of each value of the first column, by which batches are sorted."""
-    held, block = [], None
-    for batch in batches:
-        ids = batch.column(0).to_numpy()
-        for at in np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))).tolist() if len(ids) else []:
-            end = int(np.searchsorted(ids, ids[at], "right"))
-            if block is not None and ids[at] != block:
-                yield block, pa.Table.from_batches(held)
-                held = []
-            block = int(ids[at])
-            held.append(batch.slice(at, end - at))
-    if held:
-        yield block, pa.Table.from_batches(held)
+def keyed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The keys of the words of all texts and of the pairs they close, the number of words of each
+    text, and which words open one."""
+    words, sizes = words_of_texts(texts)
+    words |= ONE
+    opens = np.zeros(len(words), bool)
+    opens[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+    before = np.concatenate((words[:1], words[:-1]))
+    before[opens] = START
+    pairs = mix((before ^ (before >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + words) & ~ONE
+    return words, pairs, sizes, opens
+
+
+def counted(words: np.ndarray, pairs: np.ndarray, n_starts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and how often each occurs; the start counts once a text with words."""
+    keys, counts = np.unique(np.concatenate((words, pairs)), return_counts=True)
+    at = int(np.searchsorted(keys, START))
+    return np.insert(keys, at, START), np.insert(counts, at, n_starts)
+
+
+def planes(x: np.ndarray) -> bytes:
+    """The bytes of ``x`` by place value, which compress well where high ones are zero."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def from_planes(data: bytes, dtype: type) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(dtype).ravel()
+
+
+def shares(keys: np.ndarray, n: int) -> np.ndarray:
+    """Where each of the ``n`` equal ranges of keys begins in the sorted ``keys``, and their end."""
+    edges = np.array([(s << 64) // n for s in range(n)], np.uint64)
+    return np.append(np.searchsorted(keys, edges), len(keys))
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
+    """All rows of a partition: one block's, or one share of the keys."""
+    held = [b for b in batches if b.num_rows]
+    return pa.Table.from_batches(held) if held else None
 
 
 def in_blocks(docs: DataFrame, n: int) -> DataFrame:
@@ -118,79 +103,125 @@ def in_blocks(docs: DataFrame, n: int) -> DataFrame:
 
 
 def block_counts(rows: DataFrame, n: int) -> DataFrame:
-    """``(key, block, own, target)``: how often a block's texts hold each word and pair, and its target texts."""
+    """``(share, block, first, steps, own, target)``: the keys of a block that lie in a share, as
+    steps from the first one, with how often its texts hold them, and its target texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, part in _blocks(batches):
-            tokens = Tokens.of(part["text"].to_pylist())
-            targets = np.asarray(part["is_target"].to_numpy(), bool)
-            keys, own, target = tokens.keys.view(np.int64), tokens.counts(np.ones(len(targets), bool)), tokens.counts(targets)
-            del tokens
-            for at in range(0, len(keys), 1 << 16):
-                end = min(at + (1 << 16), len(keys))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[at:end]), pa.array(np.full(end - at, block, np.int32)), pa.array(own[at:end].astype(np.int32)), pa.array(target[at:end].astype(np.int32))],
-                    ["key", "block", "own", "target"],
-                )
-
-    dealt = rows.select("block", "is_target", "text").repartitionById(n, "block").sortWithinPartitions("block")
-    return dealt.mapInArrow(run, "key long, block int, own int, target int")
-
-
-def totals(counted: DataFrame) -> DataFrame:
-    """``(key, block, n, t, first)``: the corpus totals of each key, a row for each block that
-    holds it; ``first`` marks one row of a key."""
-    keyed = W.partitionBy("key")
-    return counted.select(
-        "key", "block", F.sum("own").over(keyed).alias("n"), F.sum("target").over(keyed).alias("t"), F.count(F.lit(1)).over(keyed).alias("blocks"),
-        (F.min("block").over(keyed) == F.col("block")).alias("first"),
-    )
+        part = _whole(batches)
+        if part is None:
+            return
+        block = part["block"][0].as_py()
+        words, pairs, sizes, opens = keyed(part["text"].to_pylist())
+        chosen = np.asarray(part["is_target"].to_numpy(), bool)
+        del part
+        keys, own = counted(words, pairs, int((sizes > 0).sum()))
+        some = np.repeat(chosen, sizes)
+        target = np.zeros(len(keys), np.int64)
+        hit, found = counted(words[some], pairs[some], int((sizes[chosen] > 0).sum()))
+        target[np.searchsorted(keys, hit)] = found
+        del words, pairs
+        edges = shares(keys, n)
+        for share in np.flatnonzero(np.diff(edges)).tolist():
+            cut = slice(edges[share], edges[share + 1])
+            k = keys[cut]
+            cells = [share, block, int(k[0].view(np.int64)), planes(np.diff(k)), planes(own[cut].astype(np.uint32)), planes(target[cut].astype(np.uint32))]
+            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, (pa.int32(), pa.int32(), pa.int64(), *(pa.binary(),) * 3), strict=True)], ["share", "block", "first", "steps", "own", "target"])
+
+    return rows.select("block", "is_target", "text").repartitionById(n, "block").mapInArrow(run, "share int, block int, first long, steps binary, own binary, target binary")
+
+
+def totals(counts: DataFrame, n: int) -> DataFrame:
+    """``(block, share, told, n, t)``: which of a block's keys in a share other blocks hold too, as
+    bits, and the corpus totals of those; and with a null block, of each share, how many
+    words it has (``share``) and their totals."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = _whole(batches)
+        if part is None:
+            return
+        names, share = ["block", "share", "told", "n", "t"], part["share"][0].as_py()
+        keys = [np.cumsum(np.concatenate((np.array([f], np.int64).view(np.uint64), from_planes(s, np.uint64)))) for f, s in zip(part["first"].to_pylist(), part["steps"].to_pylist(), strict=True)]
+        own, target = (np.concatenate([from_planes(x, np.uint32) for x in part[c].to_pylist()]) for c in ("own", "target"))
+        blocks = part["block"].to_pylist()
+        del part
+        place, distinct = pd.factorize(np.concatenate(keys))
+        held = np.bincount(place)
+        # exact: a double holds whole numbers up to 2**53
+        n, t = (np.bincount(place, weights=c).astype(np.int64) for c in (own, target))
+        words = ((distinct & ONE) == ONE) & (distinct != START)
+        sums = [pa.nulls(1, pa.int32()), pa.array([int(words.sum())], pa.int64()), pa.nulls(1, pa.binary()), *(pa.array([int(c[words].sum()).to_bytes(8, "little")]) for c in (n, t))]
+        yield pa.RecordBatch.from_arrays(sums, names)
+        at = 0
+        for block, k in zip(blocks, keys, strict=True):
+            p = place[at : at + len(k)]
+            at += len(k)
+            told = held[p] > 1
+            cells = [pa.array([block], pa.int32()), pa.array([share], pa.int64()), pa.array([np.packbits(told).tobytes()]), *(pa.array([planes(c[p[told]])]) for c in (n, t))]
+            yield pa.RecordBatch.from_arrays(cells, names)
+
+    return counts.repartitionById(n, "share").mapInArrow(run, "block int, share long, told binary, n binary, t binary")
 
 
 def score(docs: DataFrame, smoothing: Smoothing = Smoothing()) -> DataFrame:  # noqa: B008
     """``docs(doc_id, text, is_target)`` -> ``(doc_id, n_words, target_loss, background_loss, score)`` for each row."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // smoothing.block_bytes))
-    rows = in_blocks(docs, n)
-    made = totals(block_counts(rows, n))
-    is_word = (F.col("key").bitwiseAND(1) == 1) & (F.col("key") != int(START.view(np.int64)))
-    # a key that one block alone holds needs no telling; words are kept for the vocabulary's size and totals
-    several = stash(
-        made.select("key", "block", "n", "t", "first", (F.col("blocks") > 1).alias("told"), is_word.alias("is_word")).filter("told or is_word"), "totals"
-    )
-    words = several.filter("is_word and first").agg(F.count(F.lit(1)), F.sum("n"), F.sum("t")).first()
-    vocabulary, all_words, all_targets = words[0], words[1] or 0, words[2] or 0
+    n_blocks = max(1, -(-size // smoothing.block_bytes))
+    rows = in_blocks(docs, n_blocks)
+    made = stash(totals(block_counts(rows, n_blocks), n_blocks), "totals")
+    vocabulary = all_words = all_targets = 0
+    for r in made.filter("block is null").select("share", "n", "t").toLocalIterator():  # three numbers of each share
+        vocabulary, all_words, all_targets = vocabulary + r["share"], all_words + int.from_bytes(r["n"], "little"), all_targets + int.from_bytes(r["t"], "little")
     scale = all_targets / all_words if all_words else 0.0
     context_mass, word_mass = smoothing.context_mass, smoothing.word_mass
     whole = all_targets + word_mass * vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, part in _blocks(batches):
-            is_text = part["is_text"].to_numpy()
-            told, texts = part.filter(pa.array(~is_text)), part.filter(pa.array(is_text))
-            del part
-            if not len(texts):
-                continue
-            tokens = Tokens.of(texts["text"].to_pylist())
-            target = tokens.counts(np.asarray(texts["is_target"].to_numpy(), bool)).astype(np.float64)
-            background = tokens.counts(np.ones(len(texts), bool)).astype(np.float64)
-            at = np.searchsorted(tokens.keys, told["key"].to_numpy().view(np.uint64))
-            target[at], background[at] = told["t"].to_numpy(), told["n"].to_numpy()
-            losses = []
-            for counts in (target, background * scale):
-                word = (counts[tokens.own] + word_mass) / whole
-                p = (counts[tokens.pair] + context_mass * word) / (counts[tokens.context] + context_mass)
-                losses.append(np.bincount(tokens.text, weights=-np.log(p), minlength=len(texts)) / np.maximum(tokens.sizes, 1))
-            a, b = losses
+        part = _whole(batches)
+        if part is None:
+            return
+        is_text = part["is_text"].combine_chunks()
+        texts = part.filter(is_text)
+        told = part.select(["share", "told", "n", "t"]).filter(pc.invert(is_text)).sort_by("share")
+        del part
+        if not len(texts):
+            return
+        words, pairs, sizes, opens = keyed(texts["text"].to_pylist())
+        n_words = len(words)
+        place, keys = pd.factorize(np.concatenate((words, np.array([START]), pairs)))
+        del words, pairs
+        place = place.astype(np.int32)
+        own, pair = place[:n_words], place[n_words + 1 :]
+        context = np.concatenate((own[:1], own[:-1]))
+        context[opens] = start = place[n_words]
+        text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        order = np.argsort(keys)
+        edges = shares(keys[order], n_blocks)
+        losses = []
+        for name, chosen, factor in (("t", np.asarray(texts["is_target"].to_numpy(), bool), 1.0), ("n", np.ones(len(texts), bool), scale)):
+            some = chosen[text]
+            counts = np.bincount(place[:n_words][some], minlength=len(keys)) + np.bincount(pair[some], minlength=len(keys))
+            counts[start] = (sizes[chosen] > 0).sum()
+            for share, bits, total in zip(told["share"].to_pylist(), told["told"].to_pylist(), told[name].to_pylist(), strict=True):
+                mine = order[edges[share] : edges[share + 1]]
+                counts[mine[np.unpackbits(np.frombuffer(bits, np.uint8), count=len(mine)).astype(bool)]] = from_planes(total, np.int64)
+            counts = counts * factor
+            word = (counts + word_mass) / whole
+            p = (counts[pair] + context_mass * word[own]) / (counts[context] + context_mass)
+            losses.append(np.bincount(text, weights=-np.log(p), minlength=len(texts)) / np.maximum(sizes, 1))
+        a, b = losses
+        ids = texts["doc_id"].combine_chunks()
+        for i in range(0, len(ids), 1 << 14):
             yield pa.RecordBatch.from_arrays(
-                [texts["doc_id"].combine_chunks(), *map(pa.array, (tokens.sizes.astype(np.int64), a, b, a - b))],
+                [ids.slice(i, 1 << 14), *(pa.array(x[i : i + (1 << 14)]) for x in (sizes.astype(np.int64), a, b, a - b))],
                 ["doc_id", "n_words", "target_loss", "background_loss", "score"],
             )
 
-    none = F.lit(None)
-    told = several.filter("told").select("block", F.lit(False).alias("is_text"), none.cast("long").alias("doc_id"), none.cast("boolean").alias("is_target"), none.cast("binary").alias("text"), "key", "n", "t")
-    asked = rows.select("block", F.lit(True).alias("is_text"), "doc_id", "is_target", "text", none.cast("long").alias("key"), none.cast("long").alias("n"), none.cast("long").alias("t"))
-    met = told.unionByName(asked).repartitionById(n, "block").sortWithinPartitions("block")
+    def empty(kind: str):
+        return F.lit(None).cast(kind)
+
+    told = made.filter("block is not null").select("block", F.lit(False).alias("is_text"), empty("long").alias("doc_id"), empty("boolean").alias("is_target"), empty("binary").alias("text"), "share", "told", "n", "t")
+    asked = rows.select("block", F.lit(True).alias("is_text"), "doc_id", "is_target", "text", empty("long").alias("share"), *(empty("binary").alias(c) for c in ("told", "n", "t")))
+    met = told.unionByName(asked).repartitionById(n_blocks, "block")
     return met.mapInArrow(run, "doc_id long, n_words long, target_loss double, background_loss double, score double")
 
 
