@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import math
+import random
 import zlib
 
 from tessera.llm import toxicity as tox
@@ -12,14 +14,55 @@ def test_clause_arcs():
     g = tox.fit_grammar([])
     plain = g.clause("idiot".split())
     assert g.clause("you idiot".split()) > plain
-    assert g.clause("not an idiot".split()) < plain
-    assert g.clause("he said some words about an idiot".split()) > 0
-    assert g.clause("quoted idiot".split()) < plain
+    assert g.clause("not an idiot".split()) < tox.MATCHED <= plain
+    assert g.clause("he said some words about an idiot".split()) < tox.MATCHED
+    assert g.clause("you idiot he said".split()) < tox.MATCHED
     assert g.clause("idiot moron".split()) > 2 * plain
+    assert g.clause("kill the process".split()) < tox.MATCHED <= g.clause("kill you".split())
+    assert g.clause("never kill you".split()) < tox.MATCHED
     assert g.clause("a kind word".split()) == 0
     assert g.clause([]) == 0
 
 
+def by_rule(symbols):
+    """The weight of a clause of symbols, each harm of weight 1, from the rules' wording over positions."""
+    total, matched, waiting = 0.0, False, None
+    for i, x in enumerate(symbols):
+        negated = tox.NEGATION in symbols[max(i - tox.REACH, 0) : i]
+        aimed = tox.TARGET in symbols[max(i - tox.REACH, 0) : i]
+        if x == tox.TARGET and waiting is not None and i - waiting <= tox.WAIT:
+            total, waiting = total + tox.FULFILLED, None
+        if x not in (tox.INSULT, tox.THREAT):
+            continue
+        if negated:
+            total += tox.NEGATED
+            continue
+        weight = tox.AIMED if aimed else 1.0
+        if x == tox.THREAT and not aimed:
+            weight, waiting = tox.LOOSE, i
+        total += weight * (tox.REPEATED if matched else 1.0)
+        matched = True
+    return total * (tox.REPORTED if tox.REPORT in symbols else 1.0)
+
+
+def test_composed_grammar_against_the_rules():
+    words = {s: (s, 1.0) for s in range(6)}
+    g = tox.Grammar(words=words)
+    rng = random.Random(6)
+    for _ in range(3000):
+        symbols = [rng.choice(range(6)) for _ in range(rng.randint(0, 14))]
+        assert math.isclose(g.clause(symbols), by_rule(symbols), abs_tol=1e-9), symbols
+
+
+def test_arcs_change_labels():
+    rows = [(f"you are an idiot {i}. fine weather", 1) for i in range(20)] + [(f"so it is {i}. fine weather", 0) for i in range(60)]
+    texts = ["he is not an idiot", "she said you are an idiot", "idiot, he wrote", "never an idiot here"]
+    full = tox.fit_grammar(rows)
+    off = tox.fit_grammar(rows, clauses=tox.clause_grammar(reported=1, negated=1, aimed=1, loose=1, fulfilled=0, repeated=1))
+    assert all(full.score(t) < 0.5 <= off.score(t) for t in texts)
+    assert full.score("you are an idiot") >= 0.5
+
+
 def test_held_out_accuracy(spark):
     docs, labels = read(spark, SF, "documents"), read(spark, SF, "labels")
     truth = {r["doc_id"]: r["toxic"] for r in labels.collect()}
