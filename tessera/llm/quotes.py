@@ -2,12 +2,19 @@
 
 Only DataFrame operations are used.  A line's quote level is the number of ``>``
 marks it opens with; consecutive lines of one level form a passage.  Lines of
-level 0 are the message's own body.  A passage is normalised (A-Z lower-cased,
-white space collapsed) and hashed; in the same way every message's own body is,
-whole, by paragraph and by line.  A quoted passage is linked to the latest earlier
-message of its conversation that holds its hash; the message's ``reply_to`` is
-the latest message that one of its least nested linked passages comes from.  A
-message without a linked quote opens a thread of its own.
+level 0 are the message's own body.  Passages and bodies are normalised (A-Z
+lower-cased, white space collapsed).  A quoted passage is linked to the latest earlier
+message of its conversation whose body holds the passage's words as a run, so whole
+messages, some of their lines, sentences and quotes wrapped anew are all found.
+The message's ``reply_to`` is the latest message that one of its least nested
+linked passages comes from.  A message without a linked quote opens a thread of its own.
+
+Candidates come from hashes of ``WINDOW`` consecutive words (of a shorter passage, of
+all of them): a body that holds a passage holds every window of it, so the passage
+meets the bodies of its rarest window alone, and is then looked for in their texts.
+A passage that many messages quote is looked for once; its sources and its quotes
+then meet by turns, in buckets of ``TURNS`` turns, so neither a long conversation nor a much
+quoted passage stands in one task.
 
 Messages come in reply order: threads in the order of their opening messages, and
 inside a thread by turn, so a message stands after the one it answers.
@@ -23,6 +30,8 @@ empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,12 +41,25 @@ from tessera.llm.urls import LOWER, UPPER
 
 QUOTE_LINE = r"(?m)^[ \t]*>"
 PASSAGES = "array<struct<level:int,text:string>>"
+#: Words of a window, and turns of a bucket.
+WINDOW, TURNS = 8, 1024
 
 
 def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), r"\s+", " "))
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value made once, as a lambda's argument."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def windows(words: Column, k: int) -> Column:
+    """Hashes of all runs of ``k`` words; none of fewer words."""
+    found = F.transform(F.sequence(F.lit(1), F.size(words) - k + 1), lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(k)), " "), F.lit(k)))
+    return F.when(F.size(words) >= k, found).otherwise(F.array().cast("array<bigint>"))
+
+
 def passages(text: Column) -> Column:
     """Passages ``(level, text)`` of a message, in order."""
     lines = F.transform(
@@ -48,13 +70,20 @@ def passages(text: Column) -> Column:
         ),
     )
 
-    def add(done: Column, line: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        joined = F.struct(line["level"].alias("level"), F.concat(last["text"], F.lit("\n"), line["text"]).alias("text"))
-        grown = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))
-        return F.when(F.coalesce(last["level"] == line["level"], F.lit(False)), grown).otherwise(F.concat(done, F.array(line))).cast(PASSAGES)
+    def cut(rows: Column) -> Column:
+        first = lambda i: (i == 0) | (F.get(rows, i)["level"] != F.get(rows, i - 1)["level"])
+        starts = F.filter(F.sequence(F.lit(0), F.size(rows) - 1), first)
+
+        def whole(at: Column) -> Column:
+            def passage(s: Column, j: Column) -> Column:
+                mine = F.slice(rows, s + 1, F.coalesce(F.get(at, j + 1), F.size(rows)) - s)
+                return F.struct(F.get(rows, s)["level"].alias("level"), F.array_join(F.transform(mine, lambda x: x["text"]), "\n").alias("text"))
 
-    return F.aggregate(lines, F.array().cast(PASSAGES), add)
+            return F.transform(at, passage)
+
+        return _bound(starts, whole)
+
+    return _bound(lines, cut).cast(PASSAGES)
 
 
 def parsed(messages: DataFrame) -> DataFrame:
@@ -70,30 +99,50 @@ def parsed(messages: DataFrame) -> DataFrame:
     return rows.select("conv_id", "turn", "role", body.alias("body"), F.filter("all", lambda p: p["level"] > 0).alias("quotes"))
 
 
+def passage_sources(named: DataFrame, quoted: DataFrame) -> DataFrame:
+    """``(conv_id, t, turn)``: the messages whose bodies hold the words of each distinct passage
+    ``quoted(conv_id, t)`` as a run."""
+    words = F.split("t", " ")
+    short = sorted(r[0] for r in quoted.select(F.size(words).alias("n")).filter(F.col("n") < WINDOW).distinct().collect())  # less than WINDOW numbers
+    keys = F.when(F.size(words) >= WINDOW, _bound(words, lambda w: windows(w, WINDOW))).otherwise(F.array(F.xxhash64("t", F.size(words))))
+    parts = stash(quoted.select("conv_id", "t", F.explode(F.array_distinct(keys)).alias("key")), "parts")
+    asked = parts.select("conv_id", "key").distinct()
+    own = named.join(quoted.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", "turn", normalised(F.col("body")).alias("own")).filter("own <> ''")
+    own = stash(own.distinct(), "bodies")
+    held = _bound(F.split("own", " "), lambda w: F.concat(*(windows(w, k) for k in (*short, WINDOW))))
+    places = own.select("conv_id", "turn", F.explode(F.array_distinct(held)).alias("key"))
+    places = stash(places.join(asked, ["conv_id", "key"], "left_semi").distinct(), "places")
+    often = places.groupBy("conv_id", "key").agg(F.count(F.lit(1)).alias("n"))
+    # a window that no body holds counts zero: its passage has no source
+    rarest = parts.join(often, ["conv_id", "key"], "left").groupBy("conv_id", "t").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("r"))
+    rarest = rarest.filter("r.n > 0").select("conv_id", "t", F.col("r.key").alias("key"))
+    found = rarest.join(places, ["conv_id", "key"]).select("conv_id", "turn", "t").join(own, ["conv_id", "turn"])
+    space = F.lit(" ")
+    return found.filter(F.contains(F.concat(space, "own", space), F.concat(space, "t", space))).select("conv_id", "t", "turn").distinct()
+
+
 def linked_passages(rows: DataFrame) -> DataFrame:
     """``(conv_id, turn, level, source)`` of each distinct quoted passage; ``source`` is null if unlinked."""
     named = rows.filter("conv_id is not null and turn is not null")
-    quoting = named.filter("size(quotes) > 0")
     wanted = stash(
-        quoting.select("conv_id", "turn", F.explode("quotes").alias("q"))
-        .select("conv_id", "turn", F.col("q.level").alias("level"), normalised(F.col("q.text")).alias("t"))
-        .filter("t <> ''").select("conv_id", "turn", "level", F.xxhash64("t", F.length("t")).alias("h")).distinct(),
+        named.filter("size(quotes) > 0").select("conv_id", "turn", F.explode("quotes").alias("q"))
+        .select("conv_id", "turn", F.col("q.level").alias("level"), normalised(F.col("q.text")).alias("t")).filter("t <> ''").distinct(),
         "quoted",
     )
-    texts = F.array_distinct(F.transform(F.concat(F.array("body"), F.split("body", r"\n\s*\n"), F.split("body", r"\r?\n")), normalised))
-    originals = (
-        named.join(wanted.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", "turn", F.explode(texts).alias("t"))
-        .select("conv_id", "turn", F.xxhash64("t", F.length("t")).alias("h"))
-    )
-    # only hashes that some passage of the conversation has
-    originals = originals.join(wanted.select("conv_id", "h").distinct(), ["conv_id", "h"], "left_semi").distinct()
-    none = F.lit(None).cast("long")
-    events = originals.select("conv_id", "h", "turn", F.col("turn").alias("source"), F.lit(1).alias("kind"), F.lit(0).alias("level")).unionByName(
-        wanted.select("conv_id", "h", "turn", none.alias("source"), F.lit(0).alias("kind"), "level")
+    sources = passage_sources(named, stash(wanted.select("conv_id", "t").distinct(), "distinct"))
+    none = F.lit(None)
+    events = sources.select("conv_id", "t", "turn", F.col("turn").alias("source"), F.lit(1).alias("kind"), F.lit(0).alias("level")).unionByName(
+        wanted.select("conv_id", "t", "turn", none.cast("long").alias("source"), F.lit(0).alias("kind"), "level")
     )
-    # at equal turns a quote stands before its own message, so it links to an earlier one
-    order = W.partitionBy("conv_id", "h").orderBy("turn", "kind").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return events.withColumn("source", F.last("source", ignorenulls=True).over(order)).filter("kind = 0").select("conv_id", "turn", "level", "source")
+    events = stash(events.withColumn("t", F.xxhash64("t", F.length("t"))).withColumn("bucket", F.floor(F.col("turn") / TURNS)), "events")
+    # the last source of the buckets before, then the last one inside the bucket; at equal turns a
+    # quote stands before its own message, so it links to an earlier one
+    ends = events.groupBy("conv_id", "t", "bucket").agg(F.max("source").alias("last"))
+    above = F.max("last").over(W.partitionBy("conv_id", "t").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
+    ends = ends.select("conv_id", "t", "bucket", above.alias("before"))
+    inside = W.partitionBy("conv_id", "t", "bucket").orderBy("turn", "kind").rowsBetween(W.unboundedPreceding, W.currentRow)
+    told = events.withColumn("source", F.last("source", ignorenulls=True).over(inside)).filter("kind = 0")
+    return told.join(ends, ["conv_id", "t", "bucket"], "left").select("conv_id", "turn", "level", F.coalesce("source", "before").alias("source"))
 
 
 def reply_links(passages_: DataFrame) -> DataFrame:

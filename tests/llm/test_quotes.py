@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 
 from tessera.llm import quotes
@@ -36,14 +37,13 @@ def brute(rows):
         parsed.append((conv, turn, role, body))
         if conv is not None and turn is not None:
             quoted.setdefault((conv, turn), set()).update((n, norm(t)) for n, t in runs if n and norm(t))
-    holds = {}
+    bodies = {}
     for conv, turn, _, body in parsed:
         if conv is not None and turn is not None:
-            for part in {norm(p) for p in [body, *re.split(r"\n\s*\n", body), *re.split(r"\r?\n", body)]}:
-                holds.setdefault((conv, part), []).append(turn)
+            bodies.setdefault(conv, []).append((turn, f" {norm(body)} "))
     links, counts = {}, {}
     for (conv, turn), qs in quoted.items():
-        found = [(n, max((t for t in holds.get((conv, q), []) if t < turn), default=None)) for n, q in qs]
+        found = [(n, max((t for t, body in bodies[conv] if t < turn and f" {q} " in body), default=None)) for n, q in qs]
         counts[conv, turn] = (len(found), sum(s is not None for _, s in found))
         good = [(-n, s) for n, s in found if s is not None]
         links[conv, turn] = max(good)[1] if good else None
@@ -82,6 +82,40 @@ def test_nested_quotes(spark):
     assert got[7]["thread"] == 0 and got[3]["body"] == "Me too" and got[5]["reply_to"] is None
 
 
+def test_parts_of_messages(spark):
+    first = "One line of the message here.\nTwo, the second of its lines. And a sentence more of it.\nThree, the last of the lines there are."
+    rows = [
+        (1, 0, "a", first, "", ""), (1, 1, "b", "> Two, the second of its lines. And a sentence more of it.\n> Three, the last of the lines there are.\nfine", "", ""),
+        (1, 2, "c", "> And a sentence\n> more of it.\nyes", "", ""), (1, 3, "d", "> sentence more of it.\n> One line\nno", "", ""), (1, 4, "e", ">> the second of its lines. And a sentence more of it. Three, the last\n> fine\nwell", "", ""),
+    ]
+    check(spark, rows)
+    got = {r["turn"]: r["reply_to"] for r in quotes.reply_order(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {0: None, 1: 0, 2: 0, 3: None, 4: 1}
+
+
+def test_made_quotes_over_the_table(spark):
+    """The given conversations hold no quotes, so excerpts of earlier messages are put before their texts; one
+    conversation is much longer than a bucket and one passage is quoted by many."""
+    rng = random.Random(12)
+    given = [(r["conv_id"], r["turn"], r["role"], r["text"]) for r in read(spark, SF, "conversations").collect() if r["conv_id"] is not None and r["turn"] is not None]
+    given += [(10**6, i, "user", f"message {i % 700} of a long thread with the same eight words before {i}") for i in range(2500)]
+    before, rows = {}, []
+    for conv, turn, role, text in sorted(given, key=lambda r: r[:2]):
+        earlier, lead = before.setdefault(conv, []), ""
+        for _ in range(rng.choice((0, 1, 1, 2)) if earlier else 0):
+            words = (rng.choice(earlier) or "x").split() or ["x"]
+            at = rng.randrange(len(words))
+            part = words[at : at + rng.choice((1, 5, 8, 9, 30))] if rng.random() < 0.7 else ["a", "long", "thread", "with", "the", "same", "eight", "words", "before"]
+            if rng.random() < 0.1:
+                part.append("unheard")
+            cut = rng.randrange(len(part) + 1)
+            mark = ">" * rng.choice((1, 1, 2)) + " "
+            lead += mark + " ".join(part[:cut]).upper() + "\n" + mark + " ".join(part[cut:]) + "\n"
+        earlier.append(text)
+        rows.append((conv, turn, role, lead + (text or ""), "", ""))
+    check(spark, rows)
+
+
 def test_edge_rows(spark):
     rows = [(1, 0, "a", None, "", ""), (1, 0, "a", None, "", ""), (1, 1, None, "", "", ""), (None, 0, "a", "> x", "", ""), (1, None, "b", "> x", "", ""), (1, 2, "u", ">", "", ""), (3, 0, "u", "word " * 50_000, "", ""), (3, 1, "u", "> " + "word " * 50_000 + "\nyes", "", "")]
     check(spark, rows)
