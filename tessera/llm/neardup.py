@@ -15,8 +15,10 @@ similarity of ``similarity`` or more; classes are the components of such pairs.
    texts mostly stay outside.  In a shard a text is first held against the shard's
    first one; shards whose texts are in one class are done with; the first texts
    of a shard's classes then meet its least one; what is still apart meets
-   in BK-trees over the shard, cut into pieces of bounded size.
-4. Every pair within the radius is decided by the exact similarity of its two
+   in BK-trees over the shard, cut into pieces of bounded size.  A map of parity bits
+   bounds from below in how many shingles two sets differ, so most pairs within the
+   radius that are not near need no texts; no near pair is lost by it.
+4. Every pair that is left is decided by the exact similarity of its two
    sets.  The texts of a pair travel to it; a text that very many pairs share is
    sent to several tasks.
 
@@ -71,6 +73,39 @@ def simhash128(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def parity_bits(s: np.ndarray) -> bytes:
+    """A map of bits, each telling whether an odd number of the set's hashes fall on it.  Two maps
+    differ in at most as many bits as the sets do in shingles; its size follows the set's."""
+    m = max(64, 1 << int(1.5 * len(s)).bit_length())
+    at = (mix(s ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(m - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=m) & 1).astype(np.uint8)).tobytes()
+
+
+def may_be_similar(bits: list[bytes], n: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the maps of the sets ``a`` and ``b`` leave room for the similarity; true for all pairs that have it."""
+    keep = np.zeros(len(a), bool)
+    width = np.fromiter(map(len, bits), np.int64, len(bits)) // 8
+    place = np.zeros(len(bits), np.int64)
+    maps = {}
+    for w in np.unique(width).tolist():
+        rows = np.flatnonzero(width == w)
+        place[rows] = np.arange(len(rows))
+        maps[w] = np.frombuffer(b"".join(bits[i] for i in rows.tolist()), np.uint64).reshape(-1, w)
+
+    def folded(rows: np.ndarray, w: int, to: int) -> np.ndarray:
+        return np.bitwise_xor.reduce(maps[w][place[rows]].reshape(len(rows), w // to, to), axis=1)
+
+    for w in maps:
+        for v in maps:
+            pairs = np.flatnonzero((width[a] == w) & (width[b] == v))
+            for at in range(0, len(pairs), 1 << 14):
+                p = pairs[at : at + (1 << 14)]
+                to = min(w, v)
+                differ = np.bitwise_count(folded(a[p], w, to) ^ folded(b[p], v, to)).sum(axis=1, dtype=np.int64)
+                keep[p] = differ <= (1 - similarity) / (1 + similarity) * (n[a[p]] + n[b[p]]) + 1e-6
+    return keep
+
+
 def prefix_size(n: int, similarity: float) -> int:
     """How many of the rarest of ``n`` shingles a text's shards come from."""
     return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
@@ -82,23 +117,24 @@ def _sets(column: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
 
 
 def _contents(rows: DataFrame) -> DataFrame:
-    """``rows(node, text)`` -> ``(node, key)``, the key telling shingle sets apart, and
+    """``rows(node, text)`` -> ``(node, key, bits)``, the key telling shingle sets apart, and
     ``(h, seen)``: how many texts of a task's chunk hold a shingle that is frequent there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, held, n = ["node", "key", "h", "seen"], [], 0
+        names, held, n = ["node", "key", "bits", "h", "seen"], [], 0
 
         def counted() -> pa.RecordBatch:
             h, seen = np.unique(np.concatenate(held), return_counts=True)
             often = seen >= FREQUENT
             none = int(often.sum())
             return pa.RecordBatch.from_arrays(
-                [pa.nulls(none, pa.int64()), pa.nulls(none, pa.binary()), pa.array(h[often].view(np.int64)), pa.array(seen[often].astype(np.int64))], names
+                [pa.nulls(none, pa.int64()), *(pa.nulls(none, pa.binary()),) * 2, pa.array(h[often].view(np.int64)), pa.array(seen[often].astype(np.int64))], names
             )
 
         for batch in batches:
-            keys = []
+            keys, bits = [], []
             for _, sets in _sets(batch.column(1)):
+                bits += map(parity_bits, sets)
                 keys += [xxhash.xxh128_digest(s.tobytes()) for s in sets]
                 held += sets
                 n += sum(map(len, sets))
@@ -106,11 +142,11 @@ def _contents(rows: DataFrame) -> DataFrame:
                     yield counted()
                     held, n = [], 0
             none = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), none, none], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(bits, pa.binary()), none, none], names)
         if held:
             yield counted()
 
-    return rows.mapInArrow(run, "node long, key binary, h long, seen long")
+    return rows.mapInArrow(run, "node long, key binary, bits binary, h long, seen long")
 
 
 def _common(made: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -244,32 +280,37 @@ def _class_heads(open_: DataFrame, similarity: float) -> DataFrame:
     return met.select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v"))
 
 
-def _tree_pairs(open_: DataFrame, similarity: float) -> DataFrame:
-    """All pairs within the radius of a shard's texts that are not in one class, from BK-trees."""
+def _tree_pairs(open_: DataFrame, bits: DataFrame, similarity: float) -> DataFrame:
+    """The pairs of a shard's texts that are not in one class, from BK-trees, where the
+    maps of their sets leave room for the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole_shards(batches):
             key, node, part, f1, f2, n, root = (batch.column(i).to_numpy() for i in range(7))
+            maps = batch.column(7).to_pylist()
             fps = np.stack((f1, f2), axis=1).view(np.uint64)
             for a, b in shard_links(key, part, fps, RADIUS):
                 keep = (root[a] != root[b]) & _sizes_allow(n[a], n[b], similarity)
-                a, b = node[a[keep]], node[b[keep]]
+                a, b = a[keep], b[keep]
                 if len(a):
+                    keep = may_be_similar(maps, n, a, b, similarity)
+                    a, b = node[a[keep]], node[b[keep]]
                     both = np.unique(np.stack((np.maximum(a, b), np.minimum(a, b)), axis=1), axis=0)
                     yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["u", "v"])
 
-    rows = split_shards(open_.select("key", "node", "f1", "f2", "n", "root"), PIECE)
-    rows = dealt_by_key(rows.select("key", "node", "part", "f1", "f2", "n", "root"), "node")
+    rows = split_shards(open_.select("key", "node", "f1", "f2", "n", "root"), PIECE).join(small(bits, 512), "node")
+    rows = dealt_by_key(rows.select("key", "node", "part", "f1", "f2", "n", "root", "bits"), "node")
     return rows.mapInArrow(run, "u long, v long")
 
 
-def near_roots(rows: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity: float = SIMILARITY) -> DataFrame:
-    """``rows(node, text)`` -> ``(node, root)`` of the texts that are near another, by verified links alone."""
+def near_roots(rows: DataFrame, bits: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity: float = SIMILARITY) -> DataFrame:
+    """``rows(node, text)`` and their maps ``bits(node, bits)`` -> ``(node, root)`` of the texts that
+    are near another, by verified links alone."""
     spark = rows.sparkSession
     shared = stash(_shared(_prefixes(rows, common, similarity), similarity), "shared")
     links = stash(similar_pairs(shared.filter("near").select(F.greatest("node", "head").alias("u"), F.least("node", "head").alias("v")), rows, similarity), "links")
     roots = components(links)
-    for meet in (_class_heads, _tree_pairs):
+    for meet in (_class_heads, lambda rows_, similarity: _tree_pairs(rows_, bits, similarity)):
         open_ = stash(_open(shared, roots), "open")
         if not open_.limit(1).count():
             break
@@ -314,8 +355,8 @@ def drop_near(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     first = ids.groupBy("key").agg(F.min("node").alias("node"))
     copies = stash(ids.select("node").join(first.select("node"), "node", "left_anti"), "copies")
     common = _common(made)
-    drop_path(spark, made.stash_path)
     single = rows.join(small(copies, 16), "node", "left_anti")
-    roots = near_roots(single, common, similarity)
+    roots = near_roots(single, made.filter("key is not null").select("node", "bits"), common, similarity)
     gone = stash(copies.unionByName(roots.filter("node <> root").select("node")).select(F.col("node").alias("__gone")), "gone")
+    drop_path(spark, made.stash_path)
     return keyed.join(small(gone, 16), F.col(name) == F.col("__gone"), "left_anti").drop(name)

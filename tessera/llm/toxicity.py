@@ -343,8 +343,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, least: int = 4
             columns = [pa.array([f[i] for f in found], pa.float64()) for i in range(4)]
             yield pa.RecordBatch.from_arrays([*columns, batch.column(1)], ["a", "b", "c", "d", "toxic"])
 
-    table = rows.mapInArrow(features, "a double, b double, c double, d double, toxic int").orderBy("toxic", "a", "b", "c", "d").toArrow()
-    made.layer = _logistic(np.column_stack([table[c].to_numpy() for c in "abcd"]), table["toxic"].to_numpy().astype(float))
+    table = rows.mapInArrow(features, "a double, b double, c double, d double, toxic int").toArrow()
+    found = np.column_stack([table[c].to_numpy() for c in ("a", "b", "c", "d", "toxic")])
+    found = found[np.lexsort(found.T)]  # sums of doubles in one order
+    made.layer = _logistic(found[:, :4], found[:, 4])
     return made
 
 

@@ -146,3 +146,20 @@ def test_drop_near_against_brute_force_jaccard(spark):
                 parent[max(a, b)] = min(a, b)
     got = {r["doc_id"] for r in neardup.drop_near(spark.createDataFrame([(i, t, "", "") for i, t in enumerate(rows)], SCHEMA)).collect()}
     assert got == {i for i in range(len(rows)) if find(i) == i}
+
+
+def test_parity_maps_never_reject_a_near_pair():
+    rng = np.random.default_rng(5)
+    sets = []
+    for n in (1, 4, 5, 9, 60, 300, 340, 3000):
+        base = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        for share in (0, 0.05, 0.1, 0.2, 0.4):
+            other = base.copy()
+            other[: int(share * n)] = rng.integers(0, 1 << 63, int(share * n))
+            sets.append(np.unique(other))
+    bits, n = [neardup.parity_bits(s) for s in sets], np.array([len(s) for s in sets])
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    kept = neardup.may_be_similar(bits, n, a, b, 0.8)
+    exact = np.array([len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) for i, j in zip(a, b, strict=True)])
+    far = (exact < 0.6) & (np.minimum(n[a], n[b]) >= 0.8 * np.maximum(n[a], n[b]))
+    assert kept[exact >= 0.8].all() and far.any() and kept[far].mean() < 0.1
