@@ -1,11 +1,12 @@
 """Nearest neighbours by inner product over randomly rotated one-bit codes.
 
-A base vector is turned by a seeded random rotation and kept as the packed signs
-of its coordinates, with two correction scalars: its norm and the inner product
-between its direction and its code.  The inner product with a query is estimated
+A base vector is turned by seeded random rotations, as many as give ``CODE_BITS`` signs, and
+kept as the packed signs of its coordinates, with correction scalars: its norm, and for each
+rotation the inner product between its direction and its code.  Codes and scalars are
+made once, with the blocks, and rotations once a worker.  The inner product with a query is estimated
 from packed bits: the rotated query is quantised to four bits, and its inner
 product with a code is the sum of population counts of the code's bits under
-each of the query's bit planes.  The estimate comes with an error bound
+each of the query's bit planes, averaged over the rotations.  The estimate comes with an error bound
 (``epsilon`` times the code's spread, plus the quantiser's step), so a vector is
 reranked with exact double-precision products only if its upper bound reaches
 the k-th largest lower bound.
@@ -13,8 +14,9 @@ the k-th largest lower bound.
 Queries and base vectors meet in blocks: a block of packed base vectors is sent
 to the blocks of queries, and every pair of blocks is one unit of work of
 bounded size; each keeps its k best, and the few left for a query are merged by
-a window over the query.  Every row is indexed; the rotation depends on the
-number of dimensions and the seed alone.
+a window over the query.  Originals travel in the block beside their codes: a block serves ``QUERY_BLOCK``
+queries, which is cheaper than sending each query's survivors on their own.  Every row is
+indexed; the rotations depend on the number of dimensions and the seed alone.
 
 Defined cases: vectors that are null, empty, all zero, or hold a null or
 non-finite component take no part; only vectors of equal length meet; a query's
@@ -28,6 +30,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,68 +43,103 @@ from tessera.llm.common import BROADCAST_BYTES, stash
 #: Base vectors and queries of a block.
 BASE_BLOCK, QUERY_BLOCK = 32768, 512
 #: Spreads of an estimate's error that its bound covers.
-EPSILON = 3.0
+EPSILON = 2.5
 QUERY_BITS = 4
+#: Signs of a code: one rotation of as many dimensions or more, else several.
+CODE_BITS = 1024
 
 
-def rotation(dims: int, seed: int = 11) -> np.ndarray:
-    """A random orthogonal matrix, the same for equal arguments."""
-    q, r = np.linalg.qr(np.random.default_rng([seed, dims]).standard_normal((dims, dims)))
-    return q * np.sign(np.diag(r))
+@lru_cache(maxsize=4)
+def rotations(dims: int, seed: int = 11) -> np.ndarray:
+    """Random orthogonal matrices ``(turns, dims, dims)``, the same for equal arguments."""
+    made = []
+    for turn in range(-(-CODE_BITS // dims)):
+        q, r = np.linalg.qr(np.random.default_rng([seed, dims, turn]).standard_normal((dims, dims)))
+        made.append(q * np.sign(np.diag(r)))
+    return np.stack(made)
+
+
+def _packed(signs: np.ndarray) -> np.ndarray:
+    """``(..., dims)`` booleans as ``(..., words)`` of 64 bits."""
+    dims = signs.shape[-1]
+    padded = np.zeros((*signs.shape[:-1], -(-dims // 64) * 64), np.uint8)
+    padded[..., :dims] = signs
+    return np.packbits(padded, axis=-1).view(np.uint64)
 
 
 @dataclass
 class Codes:
     """Packed one-bit codes of base vectors with their correction scalars."""
 
-    bits: np.ndarray  # (n, words) uint64
-    ones: np.ndarray  # set bits of each code
-    norm: np.ndarray  # length of each vector
-    align: np.ndarray  # inner product of its direction and its code
+    bits: np.ndarray  # (turns, n, words) uint64
+    norm: np.ndarray  # (n,) length of each vector
+    align: np.ndarray  # (turns, n) inner product of its direction and its code
     dims: int
 
     @classmethod
     def build(cls, vectors: np.ndarray, seed: int = 11) -> Codes:
         dims = vectors.shape[1]
         norm = np.sqrt((vectors**2).sum(axis=1))
-        turned = vectors @ rotation(dims, seed) / norm[:, None]
-        padded = np.zeros((len(vectors), -(-dims // 64) * 64), np.uint8)
-        padded[:, :dims] = turned > 0
-        bits = np.packbits(padded, axis=1).view(np.uint64)
-        return cls(bits, np.bitwise_count(bits).sum(axis=1, dtype=np.int64), norm, np.abs(turned).sum(axis=1) / math.sqrt(dims), dims)
+        unit = vectors / norm[:, None]
+        bits, align = [], []
+        for turn in rotations(dims, seed):
+            turned = unit @ turn
+            bits.append(_packed(turned > 0))
+            align.append(np.abs(turned).sum(axis=1) / math.sqrt(dims))
+        return cls(np.stack(bits), norm, np.stack(align), dims)
+
+    def __post_init__(self):
+        self.ones = np.bitwise_count(self.bits).sum(axis=2, dtype=np.int64)
+        alike = np.maximum(1 - self.align**2, 0) / max(self.dims - 1, 1) / self.align**2
+        turns = len(self.align)
+        # errors of the rotations are independent: their spreads add as squares
+        self.spread = np.sqrt(alike.sum(axis=0)) / turns
+        self.inverse = 1 / (turns * math.sqrt(self.dims) * self.align)
+        self.rest = 1 / self.align.min(axis=0) / math.sqrt(turns)
+
+    def to_bytes(self) -> tuple[bytes, bytes]:
+        return self.bits.tobytes(), np.concatenate((self.norm[None], self.align)).tobytes()
+
+    @classmethod
+    def from_bytes(cls, bits: bytes, scalars: bytes, n: int, dims: int) -> Codes:
+        rows = np.frombuffer(scalars, np.float64).reshape(-1, n)
+        return cls(np.frombuffer(bits, np.uint64).reshape(len(rows) - 1, n, -1), rows[0], rows[1:], dims)
 
     def estimate(self, query: np.ndarray, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
         """Estimates of the inner products with ``query``, and their error bounds."""
-        dims = self.dims
-        turned = query @ rotation(dims, seed)
-        low, top = turned.min(), turned.max()
-        step = (top - low) / (2**QUERY_BITS - 1) or 1.0
-        level = np.rint((turned - low) / step).astype(np.uint8)
-        planes = np.zeros((QUERY_BITS, self.bits.shape[1] * 64), np.uint8)
-        planes[:, :dims] = (level[None, :] >> np.arange(QUERY_BITS)[:, None]) & 1
-        masks = np.packbits(planes, axis=1).view(np.uint64)
-        under = np.zeros(len(self.bits), np.int64)
-        for plane in range(QUERY_BITS):
-            under += np.bitwise_count(self.bits & masks[plane]).sum(axis=1, dtype=np.int64) << plane
-        # sum over set bits of the quantised query, twice, less the sum over all
-        signed = 2 * (step * under + low * self.ones) - (step * int(level.sum()) + low * dims)
-        estimate = self.norm * signed / (math.sqrt(dims) * self.align)
-        spread = math.sqrt((query**2).sum()) * np.sqrt(np.maximum(1 - self.align**2, 0) / max(dims - 1, 1)) / self.align
+        dims, n = self.dims, len(self.norm)
+        estimate, steps = np.zeros(n), 0.0
+        for turn, turned in enumerate(query @ rotations(dims, seed)):
+            low, top = turned.min(), turned.max()
+            step = (top - low) / (2**QUERY_BITS - 1) or 1.0
+            level = np.rint((turned - low) / step).astype(np.uint8)
+            masks = _packed((level[None, :] >> np.arange(QUERY_BITS)[:, None]) & 1)
+            under = np.zeros(n, np.int64)
+            for plane in range(QUERY_BITS):
+                under += np.bitwise_count(self.bits[turn] & masks[plane]).sum(axis=1, dtype=np.int64) << plane
+            # sum over set bits of the quantised query, twice, less the sum over all
+            signed = 2 * (step * under + low * self.ones[turn]) - (step * int(level.sum()) + low * dims)
+            estimate += signed * self.inverse[turn]
+            steps = max(steps, step)
+        spread = math.sqrt((query**2).sum()) * self.spread
         # each coordinate is off by half a step at most and evenly so: a standard error of step / sqrt(12)
-        quantised = step / math.sqrt(12) / self.align
-        return estimate, EPSILON * self.norm * np.sqrt(spread**2 + quantised**2)
+        quantised = steps / math.sqrt(12) * self.rest
+        return estimate * self.norm, EPSILON * self.norm * np.sqrt(spread**2 + quantised**2)
 
 
-def search_block(base_ids: np.ndarray, base: np.ndarray, codes: Codes, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best ids and exact scores of one block for one query."""
+def survivors(codes: Codes, own: np.ndarray, query: np.ndarray, k: int) -> np.ndarray:
+    """The rows whose upper bound reaches the k-th largest lower bound; those ``own`` take no part."""
     estimate, bound = codes.estimate(query)
-    own = base_ids == query_id
     low = np.where(own, -np.inf, estimate - bound)
-    if len(low) > k:
-        reach = np.partition(low, len(low) - k)[len(low) - k]
-        chosen = np.flatnonzero((estimate + bound >= reach) & ~own)
-    else:
-        chosen = np.flatnonzero(~own)
+    if len(low) <= k:
+        return np.flatnonzero(~own)
+    reach = np.partition(low, len(low) - k)[len(low) - k]
+    return np.flatnonzero((estimate + bound >= reach) & ~own)
+
+
+def search_block(base_ids: np.ndarray, base: np.ndarray, codes: Codes, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best ids and exact scores of one block for one query."""
+    chosen = survivors(codes, base_ids == query_id, query, k)
     scores = (base[chosen] * query).sum(axis=1)
     order = np.lexsort((base_ids[chosen], -scores))[:k]
     return base_ids[chosen][order], scores[order]
@@ -115,7 +153,7 @@ def usable(column: str) -> Column:
 
 
 def _pack(rows: DataFrame, block: int) -> DataFrame:
-    """Blocks ``(dims, block, ids, vectors)`` of at most ``block`` rows each."""
+    """Blocks ``(dims, ids, vectors, bits, scalars)`` of at most ``block`` rows each, with their codes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list, list]] = {}
@@ -124,8 +162,9 @@ def _pack(rows: DataFrame, block: int) -> DataFrame:
             ids, vectors = held.pop(dims)
             ids, vectors = np.concatenate(ids), np.concatenate(vectors)
             uniq = np.unique(ids, return_index=True)[1]  # repeated rows count once
-            cells = [[dims], [ids[uniq].tobytes()], [vectors.reshape(-1, dims)[uniq].tobytes()]]
-            return pa.RecordBatch.from_arrays([pa.array(cells[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cells[1:])], ["dims", "ids", "vectors"])
+            vectors = vectors.reshape(-1, dims)[uniq]
+            cells = [ids[uniq].tobytes(), vectors.tobytes(), *Codes.build(vectors).to_bytes()]
+            return pa.RecordBatch.from_arrays([pa.array([dims], pa.int32()), *(pa.array([c], pa.binary()) for c in cells)], ["dims", "ids", "vectors", "bits", "scalars"])
 
         for batch in batches:
             lists = batch.column(1)
@@ -144,7 +183,7 @@ def _pack(rows: DataFrame, block: int) -> DataFrame:
         for dims in list(held):
             yield out(dims)
 
-    return rows.mapInArrow(run, "dims int, ids binary, vectors binary")
+    return rows.mapInArrow(run, "dims int, ids binary, vectors binary, bits binary, scalars binary")
 
 
 def nearest(vectors: DataFrame, queries: Column, k: int = 20, base_block: int = BASE_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -161,23 +200,19 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, base_block: int =
     asked = rows.filter("is_query").select("vec_id", "embedding").repartition(max(1, -(-n_queries // query_block)))
     asked = _pack(asked, query_block)
     # a block's number follows from what it holds, so that a task that runs again gives the same
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("ids"), F.lit(1 << 40)))
+    asked = asked.select("dims", F.pmod(F.xxhash64("ids"), F.lit(1 << 40)).alias("block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
     asked = stash(asked, "queries")
-    names = [r["block"] for r in asked.select("block").distinct().limit(4097).collect()]
-    if len(names) <= 4096:
-        spread = base.withColumn("block", F.explode(F.array(*(F.lit(b) for b in sorted(names))))) if names else base.withColumn("block", F.lit(0).cast("long")).limit(0)
-    else:
-        spread = base.join(F.broadcast(asked.select("dims", "block").distinct()), "dims")
-    if n_queries * 1024 <= BROADCAST_BYTES:
-        asked = F.broadcast(asked)
-    pairs = spread.join(asked.select("dims", "block", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")), ["dims", "block"])
+    held = asked.agg(F.count(F.lit(1)), F.sum(F.octet_length("q_ids") + F.octet_length("q_vectors"))).first()
+    numbers = asked.select("dims", "block").distinct()
+    spread = base.join(F.broadcast(numbers) if held[0] * 16 <= BROADCAST_BYTES else numbers, "dims")
+    pairs = spread.join(F.broadcast(asked) if (held[1] or 0) <= BROADCAST_BYTES else asked, ["dims", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                dims, _, ids, vecs, q_ids, q_vecs = (batch.column(i)[row].as_py() for i in range(6))
+                dims, _, ids, vecs, bits, scalars, q_ids, q_vecs = (batch.column(i)[row].as_py() for i in range(8))
                 ids, vecs = np.frombuffer(ids, np.int64), np.frombuffer(vecs, np.float64).reshape(-1, dims)
-                codes = Codes.build(vecs)
+                codes = Codes.from_bytes(bits, scalars, len(ids), dims)
                 found = [
                     (q, *search_block(ids, vecs, codes, q, v, k))
                     for q, v in zip(np.frombuffer(q_ids, np.int64).tolist(), np.frombuffer(q_vecs, np.float64).reshape(-1, dims), strict=True)
@@ -188,8 +223,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, base_block: int =
                     ["query_id", "vec_id", "score"],
                 )
 
-    dealt = pairs.select("dims", "block", "ids", "vectors", "q_ids", "q_vectors").repartition(
-        max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(names) * -(-n // base_block))  # about one pair of blocks each
+    dealt = pairs.select("dims", "block", "ids", "vectors", "bits", "scalars", "q_ids", "q_vectors").repartition(
+        max(int(spark.conf.get("spark.sql.shuffle.partitions")), held[0] * -(-n // base_block))  # about one pair of blocks each
     )
     found = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

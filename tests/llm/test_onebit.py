@@ -37,6 +37,15 @@ def test_recall_on_the_whole_table(spark):
     assert hit / (20 * len(queries)) >= 0.99
 
 
+def test_few_vectors_are_reranked(spark):
+    rows = read(spark, SF, "embeddings").collect()
+    vectors = np.array([r["embedding"] for r in rows], np.float64)
+    codes = onebit.Codes.build(vectors)
+    shares = [len(onebit.survivors(codes, np.arange(len(rows)) == i, vectors[i], 20)) / len(rows) for i in range(0, len(rows), 20)]
+    print("reranked", np.mean(shares))
+    assert np.mean(shares) < 0.1
+
+
 def test_blocks_do_not_matter(spark):
     rows = read(spark, SF, "embeddings").filter("vec_id < 400")
     key = lambda df: sorted(map(tuple, df.collect()))
