@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators.ranking import numbered
+
 from tessera.operators.evaluation import normal_cdf
 
 BINS, PAD, SMOOTH = 50, 0.01, 1e-6
@@ -42,11 +44,10 @@ def wasserstein(reference: DataFrame, current: DataFrame) -> DataFrame:
     """Mean gap of the sorted samples, interpolated onto the larger size's grid, over the padded reference range."""
     sides = []
     for df in (reference, current):
-        w = W.orderBy("value")
-        ranked = df.filter("value is not null").select((F.row_number().over(w) - 1).alias("i"), "value")
-        sides.append(ranked)
+        sides.append(numbered(df.filter("value is not null").select("value"), ["value"], "i"))
     n = F.broadcast(sides[0].agg(F.count(F.lit(1)).alias("na")).crossJoin(sides[1].agg(F.count(F.lit(1)).alias("nb"))))
-    grid = n.select("na", "nb", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("na", "nb") - 1)).alias("g"))
+    larger = max(side.count() for side in sides)
+    grid = reference.sparkSession.range(larger).select(F.col("id").alias("g")).crossJoin(n)  # one row of sizes
     size = F.greatest("na", "nb")
     out = grid
     for ranked, count, name in ((sides[0], "na", "a"), (sides[1], "nb", "b")):

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from tessera.functions.vectors import cosine_distance, dot, l2_normalise, norm, vector_aggregate
 from tessera.operators import asof, conformal, context, evaluation, fusion, graph, lexical, search, stats
+from tessera.operators.ranking import numbered
 from tessera.plans.tenancy import Tenancy
 from tessera.queries import query, read
 from tessera.streaming.predicate import matching
 from tessera.streaming.topics import first_batches, ranked_batches
 
 SIM = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
-KNN = f"""knn AS (SELECT src, dst, rank, similarity FROM (SELECT a.vec_id::VARCHAR AS src, b.vec_id::VARCHAR AS dst, {SIM} AS similarity,
+KNN = f"""knn AS MATERIALIZED (SELECT src, dst, rank, similarity FROM (SELECT a.vec_id::VARCHAR AS src, b.vec_id::VARCHAR AS dst, {SIM} AS similarity,
           row_number() OVER (PARTITION BY a.vec_id ORDER BY {SIM} DESC, b.vec_id::VARCHAR) AS rank
           FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) WHERE rank <= 5)"""
 TOPK = f"""(SELECT b.vec_id::VARCHAR AS _row_id, {SIM} AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id = 7
@@ -104,13 +105,12 @@ def bm25_search(spark, sf_dir):
 
 @query("""WITH r AS (SELECT 'value' AS list_id, event_id AS id, row_number() OVER (ORDER BY value DESC, event_id) - 1 AS rank0 FROM events UNION ALL
                      SELECT 'user', event_id, row_number() OVER (ORDER BY user_id, event_id) - 1 FROM events)
-          SELECT id, round(sum(1.0 / (60 + rank0 + 1)), 8) AS score FROM r WHERE rank0 < 200 GROUP BY id""")
+          SELECT id, round(sum(1.0 / (60 + rank0 + 1)), 8) AS score FROM r GROUP BY id""")
 def rrf_fusion(spark, sf_dir):
     rows = read(spark, sf_dir, "events")
     lists = None
     for name, order in (("value", [F.desc("value"), F.asc("event_id")]), ("user", [F.asc("user_id"), F.asc("event_id")])):
-        best = rows.orderBy(*order).limit(200)
-        one = best.select(F.lit(name).alias("list_id"), F.col("event_id").alias("id"), (F.row_number().over(W.orderBy(*order)) - 1).alias("rank0"))
+        one = numbered(rows.select("event_id", "value", "user_id"), order, "rank0").select(F.lit(name).alias("list_id"), F.col("event_id").alias("id"), "rank0")
         lists = one if lists is None else lists.unionByName(one)
     return fusion.rrf_fuse(lists).select("id", F.round("score", 8).alias("score"))
 
@@ -219,20 +219,19 @@ def homophily(spark, sf_dir):
     return graph.homophily_by_edge_type(edges, labels).withColumn("rate", F.round("rate", 6))
 
 
-@query(f"""WITH RECURSIVE {KNN}, walk(start, node, hop) AS (SELECT DISTINCT src, src, 0 FROM knn WHERE src::INT < 25 UNION SELECT w.start, k.dst, w.hop + 1 FROM walk w JOIN knn k ON k.src = w.node WHERE w.hop < 2)
+@query(f"""WITH RECURSIVE {KNN}, walk(start, node, hop) AS (SELECT DISTINCT src, src, 0 FROM knn UNION SELECT w.start, k.dst, w.hop + 1 FROM walk w JOIN knn k ON k.src = w.node WHERE w.hop < 2)
            SELECT start, node, min(hop) AS hop FROM walk GROUP BY ALL HAVING min(hop) > 0""")
 def gather_two_hops(spark, sf_dir):
-    starts = _nodes(spark, sf_dir).filter("cast(id as int) < 25").select(F.col("id").alias("start"))
+    starts = _nodes(spark, sf_dir).select(F.col("id").alias("start"))
     return graph.gather(starts, _knn(spark, sf_dir).select("src", "dst"), 2)
 
 
-@query(f"""WITH {KNN}, m AS (SELECT src AS target, dst AS member FROM knn WHERE src::INT < 50 AND rank <= 4),
+@query(f"""WITH {KNN}, m AS (SELECT src AS target, dst AS member FROM knn WHERE rank <= 4),
            x AS (SELECT vec_id::VARCHAR AS member, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS lane FROM embeddings)
            SELECT target, lane::INT AS lane, round(avg(x)::FLOAT::DOUBLE, 4) AS x FROM m JOIN x USING (member) GROUP BY ALL""")
 def context_mean(spark, sf_dir):
     nodes = _nodes(spark, sf_dir)
-    targets = nodes.filter("cast(id as int) < 50")
-    pooled = context.pool_context(targets, context.context_members(targets, nodes, 4), nodes)
+    pooled = context.pool_context(nodes, context.context_members(nodes, nodes, 4), nodes)
     return pooled.select("target", F.posexplode("vector").alias("lane", "x")).select("target", "lane", F.round(F.col("x").cast("double"), 4).alias("x"))
 
 
@@ -244,12 +243,12 @@ def _ranked(spark, sf_dir):
 
 
 def _relevant(spark, sf_dir):
-    e = read(spark, sf_dir, "embeddings").filter("vec_id < 200").select(F.col("vec_id").cast("string").alias("q"), F.col("label"))
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("q"), F.col("label"))
     o = read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("label").alias("l"), (F.col("vec_id") % 3).cast("int").alias("grade"))
     return e.join(o, (F.col("label") == F.col("l")) & (F.col("q") != F.col("id"))).select(F.col("q").alias("query_id"), "id", "grade")
 
 
-@query(f"""WITH {KNN}, rel AS (SELECT a.vec_id::VARCHAR AS query_id, b.vec_id::VARCHAR AS id, (b.vec_id % 3)::INT AS grade FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id < 200),
+@query(f"""WITH {KNN}, rel AS (SELECT a.vec_id::VARCHAR AS query_id, b.vec_id::VARCHAR AS id, (b.vec_id % 3)::INT AS grade FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id),
            good AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, id) AS r FROM rel WHERE grade > 0),
            ideal AS (SELECT query_id, count(*) AS n, sum(grade / log2(r + 1)) FILTER (r <= 5) AS idcg FROM good GROUP BY query_id),
            hits AS (SELECT src AS query_id, count(*) AS hits, min(rank) AS first, sum(grade / log2(rank + 1)) AS dcg, count(*) FILTER (rank <= 1) AS h1, count(*) FILTER (rank <= 3) AS h3 FROM knn JOIN good ON src = query_id AND dst = id GROUP BY src)
@@ -350,6 +349,83 @@ def conformal_intervals(spark, sf_dir):
     return made.select("id", F.round("lower", 4).alias("lower"), F.round("upper", 4).alias("upper"))
 
 
+@query("""WITH c AS (SELECT o_orderkey AS id, o_totalprice AS y, 100000.0 AS lo, 200000.0 AS hi FROM orders), r AS (SELECT greatest(lo - y, y - hi) AS s, row_number() OVER (ORDER BY greatest(lo - y, y - hi)) AS k, count(*) OVER () AS n FROM c WHERE id % 2 = 0),
+          q AS (SELECT min(s) AS q FROM r WHERE k >= ceil(round((n + 1) * 0.8, 9))) SELECT id, round(lo - q, 4) AS lower, round(hi + q, 4) AS upper FROM c, q WHERE id % 2 = 1""")
+def conformal_cqr(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.lit(100000.0).alias("lower"), F.lit(200000.0).alias("upper"), F.col("o_totalprice").alias("observed"))
+    made = conformal.conformalize_cqr(o.filter("id % 2 = 0"), o.filter("id % 2 = 1"), 0.2)
+    return made.select("id", F.round("lower", 4).alias("lower"), F.round("upper", 4).alias("upper"))
+
+
+@query("""WITH r AS (SELECT l_returnflag AS g, abs(l_extendedprice - l_quantity * 1500) AS s FROM lineitem),
+          k AS (SELECT g, s, row_number() OVER (PARTITION BY g ORDER BY s) AS k, count(*) OVER (PARTITION BY g) AS n FROM r UNION ALL SELECT '', s, row_number() OVER (ORDER BY s), count(*) OVER () FROM r)
+          SELECT g, round(min(s), 4) AS quantile FROM k WHERE k >= ceil(round((n + 1) * 0.9, 9)) GROUP BY g""")
+def conformal_mondrian(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("g"), F.abs(F.col("l_extendedprice") - F.col("l_quantity") * 1500).alias("score"))
+    return conformal.mondrian_quantiles(rows, 0.1, "g").select("g", F.round("quantile", 4).alias("quantile"))
+
+
+CLASSES = """x AS (SELECT o_orderkey AS id, label, w / sum(w) OVER (PARTITION BY o_orderkey) AS p, o_orderstatus AS truth
+              FROM orders, (VALUES ('F', 7), ('O', 11), ('P', 13)) v(label, m), LATERAL (SELECT (1 + (o_custkey * m) % 17)::DOUBLE AS w))"""
+
+
+def _classes(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    weights = F.explode(F.array(*(F.struct(F.lit(c).alias("label"), (1 + F.col("o_custkey") * m % 17).cast("double").alias("w")) for c, m in (("F", 7), ("O", 11), ("P", 13)))))
+    rows = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("truth"), weights.alias("v")).select("id", "truth", "v.*")
+    return rows.withColumn("p", F.col("w") / F.sum("w").over(W.partitionBy("id"))).drop("w")
+
+
+@query(f"""WITH {CLASSES}, s AS (SELECT id, label, truth, sum(p) OVER (PARTITION BY id ORDER BY p DESC, label) AS s FROM x),
+           c AS (SELECT s, row_number() OVER (ORDER BY s) AS k, count(*) OVER () AS n FROM s WHERE label = truth AND id % 2 = 0), q AS (SELECT min(s) AS q FROM c WHERE k >= ceil(round((n + 1) * 0.7, 9)))
+           SELECT id, coalesce(string_agg(label, ',' ORDER BY label) FILTER (s <= q + 1e-12), '') AS labels FROM s, q WHERE id % 2 = 1 GROUP BY id""")
+def conformal_sets_aps(spark, sf_dir):
+    x = _classes(spark, sf_dir)
+    own, test = x.filter("id % 2 = 0"), x.filter("id % 2 = 1")
+    made = conformal.conformalize(own.drop("truth"), own.select("id", F.col("truth").alias("label")).distinct(), test.drop("truth"), 0.3, "aps")
+    return made.select("id", F.concat_ws(",", "prediction_set").alias("labels"))
+
+
+@query(f"""WITH {CLASSES}, s AS (SELECT id, truth, list(label) FILTER (p > 0.3) AS labels FROM x GROUP BY id, truth)
+           SELECT round(avg(coalesce(list_contains(labels, truth), false)::INT), 6) AS coverage, round(avg(coalesce(len(labels), 0)), 6) AS mean_set_size FROM s""")
+def prediction_set_scores(spark, sf_dir):
+    sets = _classes(spark, sf_dir).groupBy("id", "truth").agg(F.collect_list(F.when(F.col("p") > 0.3, F.col("label"))).alias("prediction_set"))
+    made = evaluation.set_scores(sets.select(F.col("truth").alias("label"), "prediction_set"))
+    return made.select(F.round("coverage", 6).alias("coverage"), F.round("mean_set_size", 6).alias("mean_set_size"))
+
+
+@query("""WITH d AS (SELECT l_orderkey AS id, list(l_extendedprice ORDER BY l_extendedprice) AS d, max(o_totalprice) / 4 AS y FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1 HAVING count(DISTINCT l_extendedprice) > 1),
+          m AS (SELECT id, d, y, len(d) AS n FROM d)
+          SELECT id, round(list_avg(list_transform(d, lambda x: abs(x - y))) - list_sum(list_transform(d, lambda x, i: (2 * (i - 1) - (n - 1)) * x)) / (n * n) + 0.00001, 3) AS crps,
+                 round(len(list_filter(d, lambda x: x <= y)) / n, 6) AS pit FROM m""")
+def sample_crps(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_id"), (F.col("o_totalprice") / 4).alias("outcome"))
+    draws = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("record_id")).agg(F.collect_list(F.col("l_extendedprice").cast("double")).alias("draws"))
+    rows = draws.filter("size(array_distinct(draws)) > 1").join(orders, "record_id")
+    return evaluation.sample_scores(rows).select(F.col("record_id").alias("id"), F.round(F.col("crps") + 0.00001, 3).alias("crps"), F.round("pit", 6).alias("pit"))
+
+
+@query("""WITH s AS (SELECT avg(l_quantity) FILTER (l_linenumber = 1) AS a, var_samp(l_quantity) FILTER (l_linenumber = 1) / count(*) FILTER (l_linenumber = 1) AS va, count(*) FILTER (l_linenumber = 1) AS na,
+                 avg(l_quantity) FILTER (l_linenumber = 2) AS b, var_samp(l_quantity) FILTER (l_linenumber = 2) / count(*) FILTER (l_linenumber = 2) AS vb, count(*) FILTER (l_linenumber = 2) AS nb FROM lineitem)
+          SELECT round((a - b) / sqrt(va + vb), 5) AS t, round((va + vb) * (va + vb) / (va * va / (na - 1) + vb * vb / (nb - 1)), 3) AS df FROM s""")
+def drift_welch(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").filter("l_linenumber <= 2").select((F.col("l_linenumber") - 1).alias("side"), F.col("l_quantity").cast("double").alias("value"))
+    got = stats.welch_t(rows)
+    return spark.createDataFrame([(round(got["t"], 5), round(got["df"], 3))], "t double, df double")
+
+
+@query("""WITH a AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events WHERE event_type = 'click'), b AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events WHERE event_type = 'purchase'),
+          n AS (SELECT (SELECT max(n) FROM a) AS na, (SELECT max(n) FROM b) AS nb), g AS (SELECT unnest(range(greatest(na, nb))) AS g, na, nb, greatest(na, nb) AS size FROM n),
+          p AS (SELECT g * (na - 1) / (size - 1)::DOUBLE AS x, g * (nb - 1) / (size - 1)::DOUBLE AS y FROM g),
+          v AS (SELECT al.value + (x - floor(x)) * (ah.value - al.value) AS va, bl.value + (y - floor(y)) * (bh.value - bl.value) AS vb FROM p
+                JOIN a al ON al.i = floor(x)::BIGINT JOIN a ah ON ah.i = ceil(x)::BIGINT JOIN b bl ON bl.i = floor(y)::BIGINT JOIN b bh ON bh.i = ceil(y)::BIGINT)
+          SELECT round(avg(abs(va - vb)) / ((SELECT max(value) - min(value) FROM a) * (1 + 2 * %s)), 6) AS wasserstein FROM v""" % stats.PAD)
+def drift_wasserstein(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").select("event_type", F.col("value").cast("double").alias("value"))
+    made = stats.wasserstein(rows.filter("event_type = 'click'").select("value"), rows.filter("event_type = 'purchase'").select("value"))
+    return made.select(F.round("wasserstein", 6).alias("wasserstein"))
+
+
 # --- topics and tenancy --------------------------------------------------------------------------------------
 
 

@@ -29,6 +29,26 @@ TOKENS = re.compile(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`[^`]*`|\d+(?:\.\d+)?|[
 AFTER_WORD_OK = {"in", "and", "or", "not", "between", "like", "varchar", "char", "decimal", "is", "to"}
 
 
+def _similar(tokens: list[str]) -> list[str]:
+    """``x SIMILAR TO 'pattern'`` as a match of the whole value: ``%`` and ``_`` as in LIKE, and
+    ``| * + ? { } ( ) [ ]`` as in regular expressions."""
+    out, i = [], 0
+    while i < len(tokens):
+        if tokens[i].lower() == "similar" and i + 2 < len(tokens) and tokens[i + 1].lower() == "to" and tokens[i + 2][0] == "'":
+            pattern, inside = "", False
+            for c in tokens[i + 2][1:-1].replace("''", "'"):
+                inside = (inside or c == "[") and c != "]"
+                c = c if inside else {"%": "(?s:.*)", "_": "(?s:.)"}.get(c, "\\" + c if c in ".$^\\" else c)
+                pattern += c
+            literal = f"^(?:{pattern})$".replace("\\", "\\\\").replace("'", "\\'")
+            out += ["rlike", f"'{literal}'"]
+            i += 3
+        else:
+            out.append(tokens[i])
+            i += 1
+    return out
+
+
 def compile_predicate(text: str | None) -> Column | None:
     """The column of a predicate, or None for the empty one, which all rows match."""
     if text is None or not text.strip():
@@ -49,8 +69,7 @@ def compile_predicate(text: str | None) -> Column | None:
         elif token[0] == '"':
             token = "`" + token[1:-1].replace('""', '"') + "`"
         out.append(token)
-    sql = " ".join(out)
-    sql = re.sub(r"(?i)\bsimilar to\b", "rlike", sql)
+    sql = " ".join(_similar(out))
     try:
         return F.expr(sql)
     except ParseException as e:

@@ -124,3 +124,25 @@ def test_graph_details(spark):
     assert len(set(sampling.fanout_sample(lists, 3, 5).first()["sample"])) == 3
     mined = graph.hard_negatives(spark.createDataFrame([("a", "b", 1), ("a", "c", 2), ("b", "e", 1)], "src string, dst string, rank int"), spark.createDataFrame([("a", "b")], "anchor string, positive string"), 5)
     assert [(r["anchor"], r["negative"]) for r in mined.collect()] == [("a", "c")]
+
+
+def test_similar_to_matches_whole_values(spark):
+    from tessera.streaming.predicate import matching
+
+    rows = spark.createDataFrame([("abc",), ("zabcz",), ("a.c",), ("q similar to z",), ("ab",)], "x string")
+    found = lambda p: sorted(r["x"] for r in matching(rows, p).collect())
+    assert found("x SIMILAR TO 'a%'") == ["a.c", "ab", "abc"]
+    assert found("x similar to 'abc'") == ["abc"]
+    assert found("x SIMILAR TO 'a.c'") == ["a.c"]
+    assert found("x SIMILAR TO 'a(b|x)c?'") == ["ab", "abc"]
+    assert found("x NOT SIMILAR TO 'a%' AND x = 'q similar to z'") == ["q similar to z"]
+
+
+def test_numbered_is_the_global_order(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.operators.ranking import numbered
+
+    rows = spark.range(1000).select(F.col("id"), (F.col("id") * 7919 % 1009).alias("v"))
+    got = sorted((r["n"], r["v"]) for r in numbered(rows, ["v"], "n").collect())
+    assert [n for n, _ in got] == list(range(1000)) and [v for _, v in got] == sorted(v for _, v in got)
