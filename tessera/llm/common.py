@@ -23,7 +23,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        # only where the cluster names none: one machine, as in tests
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        # one machine, as in tests
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
