@@ -276,6 +276,14 @@ def calibration_error(spark, sf_dir):
     return evaluation.expected_calibration_error(rows).select(F.round("ece", 6).alias("ece"))
 
 
+@query("""WITH r AS (SELECT l_discount * 9 AS p, row_number() OVER (ORDER BY l_discount) - 1 AS i, count(*) OVER () AS n FROM lineitem),
+          b AS (SELECT ((i + 1) * 10 - 1) // n AS bin, max(n) AS n, count(*) AS m, avg(p) AS p, min(i) + max(i) + 1 AS ends FROM r GROUP BY 1)
+          SELECT round(sum(m * greatest(abs(p - ends / (2.0 * n)) - sqrt(greatest(p * (1 - p), 0) / m), 0) / n), 6) AS pit_error FROM b""")
+def pit_calibration(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("record_id"), (F.col("l_discount") * 9).alias("pit"))
+    return evaluation.pit_calibration_error(rows).select(F.round("pit_error", 6).alias("pit_error"))
+
+
 @query("SELECT round(avg((l_extendedprice BETWEEN 10000 AND 60000)::INT), 6) AS coverage, round(avg(50000.0), 6) AS sharpness FROM lineitem")
 def interval_coverage(spark, sf_dir):
     rows = read(spark, sf_dir, "lineitem").select(F.lit(10000.0).alias("lower"), F.lit(60000.0).alias("upper"), F.col("l_extendedprice").alias("outcome"))

@@ -26,6 +26,24 @@ def test_welch_and_mann_whitney(spark):
     assert u == min(wins, len(a) * len(b) - wins)
 
 
+def test_pit_calibration_error(spark):
+    rng = random.Random(5)
+    frame = lambda xs: spark.createDataFrame(list(enumerate(xs)), "record_id long, pit double")
+    for n, power in ((4, 1), (103, 3), (250, 1)):
+        pits = [round(rng.random() ** power, 2) for _ in range(n)]
+        bins, want = min(10, n), 0.0
+        cuts = [k * n // bins for k in range(bins + 1)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            mean = float(np.mean(sorted(pits)[a:b]))
+            want += (b - a) / n * max(abs(mean - (a + b) / 2 / n) - math.sqrt(mean * (1 - mean) / (b - a)), 0)
+        assert evaluation.pit_calibration_error(frame([*pits, None])).first()["pit_error"] == pytest.approx(want, abs=1e-12)
+    for bad in ([0.5, 1.5], [0.5, float("nan")], [None]):
+        with pytest.raises(Exception, match="PIT values"):
+            evaluation.pit_calibration_error(frame(bad)).collect()
+    with pytest.raises(ValueError):
+        evaluation.pit_calibration_error(frame([0.5]), 0)
+
+
 def test_wasserstein_and_cosines(spark):
     rng = random.Random(1)
     a, b = sorted(rng.random() for _ in range(50)), sorted(rng.random() + 0.2 for _ in range(80))
