@@ -143,6 +143,20 @@ def cosine_shift(reference: list[float], current: list[float]) -> float:
     return float(1 - a @ b / scale) if scale else 1.0
 
 
+def projection_axis(dimensions: int, seed: int = 7) -> list[float]:
+    """A random axis of unit length, the same for one seed; components are uniform before scaling."""
+    raw = np.random.default_rng(seed).uniform(-1, 1, dimensions)
+    return (raw / (np.linalg.norm(raw) or 1.0)).tolist()
+
+
+def projected(vectors: DataFrame, axis: list[float]) -> DataFrame:
+    """``vectors`` with a ``value``, the inner product with ``axis``, in double precision: the population that
+    drift is told from.  A null vector or component gives null; components beyond the shorter of the two don't count."""
+    fits = F.least(F.size("vector"), F.lit(len(axis)))
+    pairs = F.zip_with(F.slice("vector", F.lit(1), fits), F.slice(F.array(*map(F.lit, axis)), F.lit(1), fits), lambda x, a: x.cast("double") * a)
+    return vectors.withColumn("value", F.when(F.col("vector").isNotNull(), F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x)))
+
+
 def mean_pairwise_cosine(vectors: DataFrame) -> float:
     """The mean cosine over distinct pairs, from one sum: |sum of units|^2 less the count, halved.  Under two vectors: 1."""
     from tessera.functions.vectors import l2_normalise, norm

@@ -26,6 +26,16 @@ def test_welch_and_mann_whitney(spark):
     assert u == min(wins, len(a) * len(b) - wins)
 
 
+def test_projection(spark):
+    axis = stats.projection_axis(6)
+    assert np.linalg.norm(axis) == pytest.approx(1) and axis == stats.projection_axis(6) != stats.projection_axis(6, seed=8)
+    v = np.random.default_rng(3).standard_normal((20, 6)).astype("float32")
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(20, None), (21, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (22, []), (23, [2.0])]
+    got = {r["id"]: r["value"] for r in stats.projected(spark.createDataFrame(rows, "id int, vector array<float>"), axis).collect()}
+    assert [got[i] for i in range(20)] == pytest.approx((v.astype(float) @ axis).tolist())
+    assert got[20] is None and got[21] is None and got[22] == 0.0 and got[23] == pytest.approx(2 * axis[0])
+
+
 def test_pit_calibration_error(spark):
     rng = random.Random(5)
     frame = lambda xs: spark.createDataFrame(list(enumerate(xs)), "record_id long, pit double")
