@@ -71,3 +71,28 @@ def test_edge_rows(spark):
     got = onebit.nearest(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 20 == 0, 20).collect()
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 20, 0.5), (20, 1, 0, 0.5), (20, 2, 1, 0.5), (20, 3, 2, 0.5)]
     assert onebit.nearest(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 20 == 0, 20).collect() == []
+
+
+def test_rows_stay_where_they_are(spark):
+    """Neither blocks of rows nor their codes are sent to each block of queries; a task holds one block."""
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(i, v, "", "") for i, v in enumerate(rng.standard_normal((1200, 8)).tolist())], SCHEMA)
+    plan = onebit.nearest(rows, F.col("vec_id") % 20 == 0, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "binary" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_wide_and_long_vectors(spark):
+    """Lengths far apart, negative products, several words to a rotation, queries in chunks and repeated rows over cuts of blocks."""
+    rng = np.random.default_rng(6)
+    vectors = np.float32(rng.standard_normal((500, 130)) * 10.0 ** rng.integers(-20, 20, (500, 1)))
+    vectors[1::2] = np.abs(vectors[1::2])
+    data = [(i, v, "", "") for i, v in enumerate(vectors.tolist()) for _ in range(1 + i % 3)]
+    vectors = vectors.astype(np.float64)
+    for blocks in ({}, {"base_block": 7, "query_block": 9}):
+        found = {}
+        for r in onebit.nearest(spark.createDataFrame(data, SCHEMA), F.col("vec_id") % 20 == 0, 5, **blocks).collect():
+            found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+        assert sorted(found) == list(range(0, 500, 20))
+        wanted = {q: [v for v, _ in brute(np.arange(500), vectors, q, 5)] for q in found}
+        assert all(len(found[q]) == 5 for q in found)
+        assert sum(len({v for _, v in found[q]} & set(wanted[q])) for q in found) >= 0.98 * 5 * len(found)
