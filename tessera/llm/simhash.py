@@ -180,12 +180,21 @@ class Forest:
     def links(self, fps: np.ndarray, root: np.ndarray, before: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of a place in ``fps`` and a row of the tree at ``root`` within the radius,
         of rows before ``before`` alone."""
-        stack = [(np.arange(len(fps)), root)]
+        most = max(FRONTIER // self.fps.shape[1], 1)
+        # with counts, ``node`` is the place of the first of so many children, which are not spread out yet
+        stack = [(np.arange(len(fps)), root, None)]
         while stack:
-            query, node = stack.pop()
-            if len(query) * self.fps.shape[1] > FRONTIER and len(query) > 1:
+            query, node, n = stack.pop()
+            if n is not None:
+                cut = max(1, int(np.searchsorted(np.cumsum(n), most, "right")))
+                if cut < len(n):
+                    stack.append((query[cut:], node[cut:], n[cut:]))
+                query, node, n = query[:cut], node[:cut], n[:cut]
+                at = np.repeat(node - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                query, node = np.repeat(query, n), self.node[at]
+            elif len(query) > most:
                 half = len(query) // 2
-                stack += [(query[:half], node[:half]), (query[half:], node[half:])]
+                stack += [(query[:half], node[:half], None), (query[half:], node[half:], None)]
                 continue
             keep = node < before[query]  # a child comes after its parent
             query, node = query[keep], node[keep]
@@ -198,9 +207,9 @@ class Forest:
             low = np.searchsorted(self.key, node * self.width + np.maximum(d - radius, 0))
             high = np.searchsorted(self.key, node * self.width + np.minimum(d + radius, self.width - 1), "right")
             n = high - low
-            if n.sum():
-                at = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-                stack.append((np.repeat(query, n), self.node[at]))
+            some = np.flatnonzero(n)
+            if len(some):
+                stack.append((query[some], low[some], n[some]))
 
 
 def shard_links(key: np.ndarray, part: np.ndarray, fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:

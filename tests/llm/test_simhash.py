@@ -163,3 +163,20 @@ def test_parity_maps_never_reject_a_near_pair():
     exact = np.array([len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) for i, j in zip(a, b, strict=True)])
     far = (exact < 0.6) & (np.minimum(n[a], n[b]) >= 0.8 * np.maximum(n[a], n[b]))
     assert kept[exact >= 0.8].all() and far.any() and kept[far].mean() < 0.1
+
+
+def test_search_frontier_is_bounded():
+    """Wide searches spread out their children a bounded number at a time, and lose no link by it."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    fps = rng.integers(0, 2**63, (8192, 2), dtype=np.uint64)
+    fps[4096:] = fps[:4096] ^ (np.uint64(1) << rng.integers(0, 63, (4096, 2), dtype=np.uint64))
+    forest, found = simhash.Forest(fps, np.zeros(8192, np.int64)), 0
+    tracemalloc.start()
+    for query, _ in forest.links(fps, np.zeros(8192, np.int64), np.arange(8192), 48):
+        found += len(query)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == sum(int((np.bitwise_count(fps[:i] ^ fps[i]).sum(axis=1) <= 48).sum()) for i in range(8192))
+    assert peak < 60e6
